@@ -132,12 +132,12 @@ def read_block(con, scratch: str, ids: list[int], files: list[str | None], lines
         os.remove(p)
     within = " AND ".join(f"c{i} BETWEEN {lo} AND {hi}" for i, (lo, hi) in enumerate(LIMITS))
     # The join of the reader's result with the raw lines; `sure` rows are settled, the rest goes through the exact check.
-    joined = con.execute(
+    joined = con.sql(
         f"""SELECT raw.n, line_id, src_file, raw_line, {names}, trim(c6, ' \t\r') c6, error,
                    coalesce(rows.n IS NOT NULL AND error IS NULL AND regexp_full_match(raw_line, '{_PLAIN}') AND {within}, false) AS sure
             FROM raw LEFT JOIN (SELECT * FROM rows QUALIFY count(*) OVER (PARTITION BY n) = 1) rows USING (n)
             LEFT JOIN (SELECT n, min(error) error FROM wrong GROUP BY n) wrong USING (n) ORDER BY raw.n"""
-    ).fetch_arrow_table()
+    ).to_arrow_table()
     con.unregister("raw")
     numbers = [joined[f"c{i}"].to_pylist() for i in range(6)]
     remarks, reasons = joined["c6"].to_pylist(), [None] * len(ids)

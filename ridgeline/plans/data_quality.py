@@ -3,16 +3,41 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ridgeline.functions.geo import mercator_x, mercator_y
 from ridgeline.operators.line_rejects import load_lines, rejected_lines
-from ridgeline.session import ship, table
+from ridgeline.operators.spatial_join import within_distance
+from ridgeline.session import one_delivery, ship, table
 
+#: The name-matching distance, in projected metres.
+NAME_RADIUS = 200.0
 
-def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines without a valid record, with the first reason that holds."""
+
+def corridor_points(spark: SparkSession, folder: str) -> DataFrame:
+    """peaks_corridor records with a position, each once, in EPSG:3857."""
+    rows = one_delivery(table(spark, folder, "peaks_corridor").select("peak_id", "lat", "lon"), "peak_id")
+    return rows.select("peak_id", mercator_x(F.col("lon")).alias("x"), mercator_y(F.col("lat")).alias("y"))
+
+
+def feature_points(spark: SparkSession, folder: str) -> DataFrame:
+    """osm_peaks features with a geometry, each once, in EPSG:3857."""
+    rows = one_delivery(table(spark, folder, "osm_peaks").select("osm_id", "geometry"), "osm_id")
+    return rows.select("osm_id", mercator_x(F.col("geometry.x")).alias("x"), mercator_y(F.col("geometry.y")).alias("y"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of a record and a feature within the name-matching distance."""
     ship(spark)
-    return rejected_lines(load_lines(table(spark, folder, "kirmse_raw"))).select("line_id", "reason")
+    pairs = within_distance(corridor_points(spark, folder), "peak_id", feature_points(spark, folder), "osm_id", NAME_RADIUS)
+    return pairs.select(F.col("left_id").alias("peak_id"), F.col("right_id").alias("osm_id"))
 
 
-QUERIES = {"p5_found": p5_found}
-SQL: dict[str, str] = {}
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found}
+SQL: dict[str, str] = {
+    "p3_found": """
+WITH a AS (SELECT DISTINCT peak_id, radians(lon) * 6378137.0 AS x, 6378137.0 * ln(tan(pi() / 4 + radians(lat) / 2)) AS y FROM peaks_corridor WHERE lat IS NOT NULL AND lon IS NOT NULL),
+     b AS (SELECT DISTINCT osm_id, radians(geometry.x) * 6378137.0 AS x, 6378137.0 * ln(tan(pi() / 4 + radians(geometry.y) / 2)) AS y FROM osm_peaks WHERE geometry IS NOT NULL)
+SELECT peak_id, osm_id FROM a JOIN b ON b.x BETWEEN a.x - 200 AND a.x + 200 AND b.y BETWEEN a.y - 200 AND a.y + 200
+WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 200""",
+}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions.geo import mercator_x, mercator_y
 from ridgeline.operators.line_rejects import load_lines, rejected_lines
+from ridgeline.operators.packed_values import split_values
 from ridgeline.operators.spatial_join import within_distance
 from ridgeline.session import one_delivery, ship, table
 
@@ -26,6 +27,13 @@ def feature_points(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("osm_id", mercator_x(F.col("geometry.x")).alias("x"), mercator_y(F.col("geometry.y")).alias("y"))
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The values of each way's ref that holds two or more."""
+    ship(spark)
+    ways = one_delivery(table(spark, folder, "osm_ways").filter("ref IS NOT NULL").select("osm_id", "ref"), "osm_id")
+    return split_values(ways, "osm_id", "ref").filter("n_values >= 2").select("osm_id", "pos", "item")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of a record and a feature within the name-matching distance."""
     ship(spark)
@@ -33,7 +41,13 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("left_id").alias("peak_id"), F.col("right_id").alias("osm_id"))
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found}
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines without a valid record, with the first reason that holds."""
+    ship(spark)
+    return rejected_lines(load_lines(table(spark, folder, "kirmse_raw"))).select("line_id", "reason")
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found}
 SQL: dict[str, str] = {
     "p3_found": """
 WITH a AS (SELECT DISTINCT peak_id, radians(lon) * 6378137.0 AS x, 6378137.0 * ln(tan(pi() / 4 + radians(lat) / 2)) AS y FROM peaks_corridor WHERE lat IS NOT NULL AND lon IS NOT NULL),

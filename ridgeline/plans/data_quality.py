@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.functions.geo import mercator_x, mercator_y
+from ridgeline.functions.heights import number_in, stated_unit, unit_of_note, unit_of_remark
 from ridgeline.operators.line_rejects import load_lines, rejected_lines
 from ridgeline.operators.packed_values import split_values
 from ridgeline.operators.spatial_join import within_distance
+from ridgeline.operators.unit_inference import infer_units
 from ridgeline.session import one_delivery, ship, table
 
 #: The name-matching distance, in projected metres.
@@ -34,6 +36,52 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return split_values(ways, "osm_id", "ref").filter("n_values >= 2").select("osm_id", "pos", "item")
 
 
+#: The tables of heights: name, key, unit that the field is meant for.
+HEIGHT_TABLES = (("peaks_computed", "peak_id", "m"), ("peaks_corridor", "peak_id", "ft"), ("osm_peaks", "osm_id", "m"))
+
+
+def height_records(spark: SparkSession, folder: str) -> DataFrame:
+    """The heights of the three tables in one form. key = id * 4 + number of the table."""
+    null = lambda kind: F.lit(None).cast(kind)
+    a = one_delivery(table(spark, folder, "peaks_computed"), "peak_id").select(
+        (F.col("peak_id") * 4).alias("key"), F.lit(0).alias("kind"), F.lit("m").alias("meant"), F.col("elev_m").cast("double").alias("value"), null("int").alias("decimals"), F.lit(False).alias("padded"),
+        null("string").alias("stated"), null("string").alias("remark"), null("string").alias("remark_unit"), F.col("run_tag").alias("source"), F.col("elev_ft").alias("sibling"), "prom_ft",
+        mercator_x(F.col("lon")).alias("x"), mercator_y(F.col("lat")).alias("y"),
+    )
+    b = one_delivery(table(spark, folder, "peaks_corridor"), "peak_id").select(
+        (F.col("peak_id") * 4 + 1).alias("key"), F.lit(1).alias("kind"), F.lit("ft").alias("meant"), F.col("elev_ft").alias("value"), null("int").alias("decimals"), F.lit(False).alias("padded"),
+        null("string").alias("stated"), "remark", unit_of_remark(F.col("remark")).alias("remark_unit"), F.col("list_code").alias("source"), null("double").alias("sibling"), "prom_ft",
+        mercator_x(F.col("lon")).alias("x"), mercator_y(F.col("lat")).alias("y"),
+    )
+    c = one_delivery(table(spark, folder, "osm_peaks"), "osm_id").select(
+        (F.col("osm_id") * 4 + 2).alias("key"), F.lit(2).alias("kind"), F.lit("m").alias("meant"), number_in(F.col("ele")).alias("value"), F.length(F.regexp_extract("ele", r"\.([0-9]+)", 1)).alias("decimals"), F.col("ele").rlike(r"^\s|\s$").alias("padded"),
+        stated_unit(F.col("ele")).alias("stated"), null("string").alias("remark"), null("string").alias("remark_unit"), F.col("import_tag").alias("source"), null("double").alias("sibling"), null("double").alias("prom_ft"),
+        mercator_x(F.col("geometry.x")).alias("x"), mercator_y(F.col("geometry.y")).alias("y"),
+    )
+    notes = table(spark, folder, "peak_sources").dropDuplicates(["table_name", "source_code"]).select(F.col("source_code").alias("source"), F.col("table_name").alias("of"), unit_of_note(F.col("unit_note")).alias("note_unit"))
+    rows = a.unionByName(b).unionByName(c).withColumn("of", F.element_at(F.array(*(F.lit(t) for t, _, _ in HEIGHT_TABLES)), F.col("kind") + 1))
+    return rows.join(notes, ["source", "of"], "left")
+
+
+def heights(spark: SparkSession, folder: str) -> DataFrame:
+    """Every height in metres, with the unit it was recorded in and how sure that is."""
+    ship(spark)
+    found = infer_units(height_records(spark, folder))
+    name = F.element_at(F.array(*(F.lit(t) for t, _, _ in HEIGHT_TABLES)), F.col("kind") + 1)
+    meant = F.element_at(F.array(*(F.lit(u) for _, _, u in HEIGHT_TABLES)), F.col("kind") + 1)
+    return found.select(name.alias("table_name"), F.shiftright("key", 2).alias("rec_id"), "value", "unit", meant.alias("meant_unit"), "height_m", "probability", "status")
+
+
+def p2_heights(spark: SparkSession, folder: str) -> DataFrame:
+    """All heights in metres."""
+    return heights(spark, folder)
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Records whose height is not in the unit its field is meant for."""
+    return heights(spark, folder).filter("unit <> meant_unit").select("table_name", "rec_id", "unit")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of a record and a feature within the name-matching distance."""
     ship(spark)
@@ -47,7 +95,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return rejected_lines(load_lines(table(spark, folder, "kirmse_raw"))).select("line_id", "reason")
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_heights": p2_heights, "p3_found": p3_found, "p5_found": p5_found}
 SQL: dict[str, str] = {
     "p3_found": """
 WITH a AS (SELECT DISTINCT peak_id, radians(lon) * 6378137.0 AS x, 6378137.0 * ln(tan(pi() / 4 + radians(lat) / 2)) AS y FROM peaks_corridor WHERE lat IS NOT NULL AND lon IS NOT NULL),

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.functions.geo import mercator_x, mercator_y
-from ridgeline.functions.heights import number_in, stated_unit, unit_of_note, unit_of_remark
+from ridgeline.functions.heights import number_in, stated_unit, to_metres, unit_of_note, unit_of_remark
 from ridgeline.operators.line_rejects import load_lines, rejected_lines
 from ridgeline.operators.packed_values import split_values
+from ridgeline.operators.record_linkage import link, name_agreement, name_key, steps
 from ridgeline.operators.spatial_join import within_distance
 from ridgeline.operators.unit_inference import infer_units
-from ridgeline.session import one_delivery, ship, table
+from ridgeline.session import cut, one_delivery, ship, table
 
 #: The name-matching distance, in projected metres.
 NAME_RADIUS = 200.0
@@ -89,13 +90,80 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("left_id").alias("peak_id"), F.col("right_id").alias("osm_id"))
 
 
+#: Projected metres within which records are compared, and the features that may bear one name for it to find a record without a position.
+LINK_RADIUS, RARE_NAME = 1000.0, 20
+#: Comparisons: number of levels, and the level from which each starts out as a sign of a match.
+LINK_LEVELS = {"name": 4, "distance": 6, "elevation": 5, "prominence": 4}
+LINK_AGREE = {"name": 2, "distance": 2, "elevation": 3, "prominence": 2}
+#: Units that a height may be in, by side; a named unit rules the others out.
+_LEFT_UNITS, _RIGHT_UNITS = (0.3048, 1.0, 0.1, 1000.0), (1.0, 0.3048)
+
+
+def _readings(value: Column, units: tuple[float, ...], unit: Column | None = None) -> Column:
+    """The heights in metres that a number may mean."""
+    open_ = F.filter(F.array(*(value * k for k in units)), lambda h: h.between(50, 9000))
+    return open_ if unit is None else F.when(unit.isNotNull(), F.array(to_metres(value, unit))).otherwise(open_)
+
+
+def _least_difference(a: Column, b: Column) -> Column:
+    """The least relative difference between any reading of one side and any of the other."""
+    return F.array_min(F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.abs(x - y) / F.greatest(x, y)))))
+
+
+def linked_summits(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of records and features with the levels of their comparisons and the confidence that they are the same summit.
+
+    Blocking: all within LINK_RADIUS of each other; and, where a side has no position, the same rare name and a height within two hundredths. A name that more
+    than RARE_NAME features bear says too little to find a summit without a position."""
+    left = one_delivery(table(spark, folder, "peaks_corridor"), "peak_id").select(
+        "peak_id", "label", "prom_ft", _readings(F.col("elev_ft"), _LEFT_UNITS).alias("h1"), mercator_x(F.col("lon")).alias("x"), mercator_y(F.col("lat")).alias("y")
+    )
+    right = one_delivery(table(spark, folder, "osm_peaks"), "osm_id").select(
+        "osm_id", "name", _readings(number_in(F.col("ele")), _RIGHT_UNITS, stated_unit(F.col("ele"))).alias("h2"), _readings_ft(F.col("prominence")).alias("p2"),
+        mercator_x(F.col("geometry.x")).alias("x"), mercator_y(F.col("geometry.y")).alias("y"),
+    )
+    left, right = left.withColumn("lkey", name_key("label")), right.withColumn("rkey", name_key("name"))
+    near = within_distance(left, "peak_id", right, "osm_id", LINK_RADIUS).select(F.col("left_id").alias("peak_id"), F.col("right_id").alias("osm_id"), F.col("distance").alias("apart"))
+    bucket = lambda h, d: F.explode(F.array_distinct(F.transform(h, lambda v: F.floor(F.ln(v) * 50) + d)))
+    rare = right.filter("rkey IS NOT NULL").groupBy("rkey").agg(F.count(F.lit(1)).alias("bearers")).filter(F.col("bearers") <= RARE_NAME)
+    a = left.filter("lkey IS NOT NULL").select("peak_id", F.col("lkey").alias("rkey"), F.col("x").isNull().alias("lost"), bucket(F.col("h1"), F.lit(0)).alias("b"))
+    a = a.select("peak_id", "rkey", "lost", F.explode(F.array(*(F.col("b") + d for d in (-1, 0, 1)))).alias("b"))
+    b = right.filter("rkey IS NOT NULL").join(rare, "rkey").select("osm_id", "rkey", F.col("x").isNull().alias("rlost"), bucket(F.col("h2"), F.lit(0)).alias("b"))
+    far = a.join(b, ["rkey", "b"]).filter("lost OR rlost").select("peak_id", "osm_id").distinct().withColumn("apart", F.lit(None).cast("double"))
+    pairs = near.unionByName(far).join(left.drop("x", "y", "lkey"), "peak_id").join(right.drop("x", "y", "rkey"), "osm_id")
+    compared = pairs.select(
+        "peak_id", "osm_id", "apart", name_agreement("label", "name").alias("name"), steps(F.col("apart"), 700, 450, 300, 150, 60).alias("distance"),
+        steps(_least_difference(F.col("h1"), F.col("h2")), 0.05, 0.02, 0.008, 0.003).alias("elevation"),
+        steps(F.array_min(F.transform("p2", lambda p: F.abs(p - F.col("prom_ft")) / F.greatest(p, F.col("prom_ft")))), 0.15, 0.06, 0.02).alias("prominence"),
+    )
+    return link(cut(compared), LINK_LEVELS, LINK_AGREE)
+
+
+def _readings_ft(text: Column) -> Column:
+    """The prominences in feet that a text may mean."""
+    v, u = number_in(text), stated_unit(text)
+    return F.when(u.isNotNull(), F.array(to_metres(v, u) / 0.3048)).otherwise(F.filter(F.array(v, v / 0.3048), lambda p: p.isNotNull()))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs that are the same summit."""
+    ship(spark)
+    return linked_summits(spark, folder).filter("confidence >= 0.5").select("peak_id", "osm_id")
+
+
+def p4_links(spark: SparkSession, folder: str) -> DataFrame:
+    """All compared pairs with their confidence."""
+    ship(spark)
+    return linked_summits(spark, folder)
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Lines without a valid record, with the first reason that holds."""
     ship(spark)
     return rejected_lines(load_lines(table(spark, folder, "kirmse_raw"))).select("line_id", "reason")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_heights": p2_heights, "p3_found": p3_found, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_heights": p2_heights, "p3_found": p3_found, "p4_found": p4_found, "p4_links": p4_links, "p5_found": p5_found}
 SQL: dict[str, str] = {
     "p3_found": """
 WITH a AS (SELECT DISTINCT peak_id, radians(lon) * 6378137.0 AS x, 6378137.0 * ln(tan(pi() / 4 + radians(lat) / 2)) AS y FROM peaks_corridor WHERE lat IS NOT NULL AND lon IS NOT NULL),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ridgeline.llm.harmful import rates, score_documents
 from ridgeline.llm.leakage import find_leaks
 from ridgeline.session import ship, table
 
@@ -15,5 +16,21 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.select("item_id", "doc_id").distinct()
 
 
-QUERIES = {"p6_found": p6_found}
+def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its score."""
+    ship(spark)
+    return score_documents(table(spark, folder, "documents"), table(spark, folder, "doc_reviews"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that the classifier finds harmful."""
+    return p8_scores(spark, folder).filter("harmful").select("doc_id")
+
+
+def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of harmful documents of each source."""
+    return rates(p8_scores(spark, folder))
+
+
+QUERIES = {"p6_found": p6_found, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 SQL: dict[str, str] = {}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ridgeline.llm.harmful import rates, score_documents
 from ridgeline.llm.leakage import find_leaks
+from ridgeline.llm.mixing import mix
 from ridgeline.session import ship, table
 
 
@@ -16,6 +17,18 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.select("item_id", "doc_id").distinct()
 
 
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of the mix with their repeats."""
+    ship(spark)
+    return mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares that the mix reaches."""
+    ship(spark)
+    return mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
+
+
 def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its score."""
     ship(spark)
@@ -32,5 +45,5 @@ def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
     return rates(p8_scores(spark, folder))
 
 
-QUERIES = {"p6_found": p6_found, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
+QUERIES = {"p6_found": p6_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 SQL: dict[str, str] = {}

@@ -170,4 +170,11 @@ WITH a AS (SELECT DISTINCT peak_id, radians(lon) * 6378137.0 AS x, 6378137.0 * l
      b AS (SELECT DISTINCT osm_id, radians(geometry.x) * 6378137.0 AS x, 6378137.0 * ln(tan(pi() / 4 + radians(geometry.y) / 2)) AS y FROM osm_peaks WHERE geometry IS NOT NULL)
 SELECT peak_id, osm_id FROM a JOIN b ON b.x BETWEEN a.x - 200 AND a.x + 200 AND b.y BETWEEN a.y - 200 AND a.y + 200
 WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 200""",
+    "p5_found": r"""
+WITH l AS (SELECT line_id, coalesce(raw_line, '') AS t FROM kirmse_raw),
+q AS (SELECT line_id, regexp_full_match(t, '([ \t\r]*"([^"]|"")*"[ \t\r]*|[^",]*)(,([ \t\r]*"([^"]|"")*"[ \t\r]*|[^",]*))*') AS ok, regexp_extract_all(t || ',', '([ \t\r]*"(?:[^"]|"")*"[ \t\r]*|[^",]*),', 1) AS f FROM l),
+v AS (SELECT line_id, ok, len(f) AS n, list_transform(f[1:6], lambda x: trim(trim(trim(x, E' \t\r'), '"'), E' \t\r')) AS f FROM q),
+w AS (SELECT line_id, ok, n, list_transform(f, lambda x: CASE WHEN regexp_full_match(x, '[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?') THEN try_cast(x AS DOUBLE) END) AS d FROM v)
+SELECT line_id, CASE WHEN NOT ok THEN 'quoting' WHEN n NOT BETWEEN 6 AND 7 THEN 'columns' WHEN len(list_filter(d, lambda x: x IS NULL)) > 0 THEN 'value' ELSE 'range' END AS reason
+FROM w WHERE NOT ok OR n NOT BETWEEN 6 AND 7 OR len(list_filter(d, lambda x: x IS NULL)) > 0 OR NOT (d[1] BETWEEN -90 AND 90 AND d[4] BETWEEN -90 AND 90 AND d[2] BETWEEN -180 AND 180 AND d[5] BETWEEN -180 AND 180 AND d[3] BETWEEN -1500 AND 30000 AND d[6] BETWEEN 0 AND 30000)""",
 }

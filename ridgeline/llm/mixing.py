@@ -158,7 +158,7 @@ def mix(docs: DataFrame, targets: DataFrame, fill: float = 1.0, tokenizer: str =
     total = fill * (most[there] / want[there]).min() if there.any() else 0.0
     steps: list[np.ndarray] = []
     for _ in range(ROUNDS if there.any() else 0):
-        history = np.array(steps).reshape(-1, len(names))
+        history = np.array(steps).reshape(len(steps), len(names))
 
         def reach(frames: Iterator[pd.DataFrame], history=history) -> Iterator[pd.DataFrame]:
             for f in frames:
@@ -173,7 +173,7 @@ def mix(docs: DataFrame, targets: DataFrame, fill: float = 1.0, tokenizer: str =
         if np.abs(off).max() <= SETTLED * total:
             break
         steps.append(np.where(there, off / np.maximum(once, 1), 0))  # the gradient, scaled by what a unit of rate brings
-    history = np.array(steps).reshape(-1, len(names))
+    history = np.array(steps).reshape(len(steps), len(names))
 
     def rate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

@@ -14,7 +14,7 @@ from ridgeline.functions.geodesic import inverse
 from ridgeline.functions.text import peak_label
 from ridgeline.operators.ascent import classify_by_ascent, classify_by_ceiling
 from ridgeline.operators.drainage import catchment, classify_by_drainage, drains_to
-from ridgeline.operators.profile import analyze, barrier_of_series, classify_by_profile, segments_of, shorten, stations
+from ridgeline.operators.profile import analyze, barrier_in, barrier_of_series, classify_by_profile, segments_of, shorten, stations
 from ridgeline.operators.raster import mosaic
 from ridgeline.operators.report import class_counts, cross_check, prominence_bands
 from ridgeline.sinks.exports import app_payload, export_all, write_app
@@ -22,7 +22,7 @@ from ridgeline.sources.features import is_route, named, present, route
 from ridgeline.sources.geopackage import GeoPackage, points_of, wkb_of
 from ridgeline.sources.peak_list import in_corridor, parse_peak_list, read_lines
 from ridgeline.sources.tiles import TerrariumTiles, decode_png, grid_of, read_terrarium, tile_cover
-from tests.rasters import cells_of
+from tests.rasters import cells_of, cells_of_array
 
 PROFILES = [
     ([100, 40, 60, 140, 63.8, 200], (True, 1, 4)), ([100, 40, 60, 140, 64, 200], (False, 1, -1)), ([300, 40, 60, 200], (False, 1, -1)), ([None, 40, None, 150, None, 60, 200], (True, 1, 5)),
@@ -38,6 +38,22 @@ def test_barriers(spark):
     assert [(r["blocked"], r["lo"], r["barrier"]) for r in barrier_of_series(long, "k", ["i"], "v").orderBy("k").collect()] == [w for _, w in PROFILES]
 
 
+def test_barriers_of_arrays():
+    assert [barrier_in(np.array([np.nan if v is None else v for v in z], float), 76.2) for z, _ in PROFILES] == [w for _, w in PROFILES]
+
+
+def test_both_ways_of_profiling_agree(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    cells, grid = cells_of_array(spark, np.where(rng.random((40, 30)) < 0.05, np.nan, rng.integers(0, 300, (40, 30)).astype(float)))
+    at = lambda n, k: spark.createDataFrame([(i, float(rng.uniform(0, 30)), -float(rng.uniform(0, 40))) for i in range(n)], f"{k} long, x double, y double")
+    peaks, cand = at(25, "peak_id"), at(12, "cand_id")
+    got = []
+    for held in (0, 10_000):
+        monkeypatch.setattr("ridgeline.operators.profile.HELD_CELLS", held)
+        got.append(sorted(map(str, classify_by_profile(peaks, cells, cand, grid, 120.0, 5).collect())))
+    assert got[0] == got[1] and len(got[0]) == 25
+
+
 def test_shorten(spark):
     df = spark.createDataFrame([([float(k) for k in range(n)],) for n in (5, 80, 200)], "z array<double>")
     got = [r[0] for r in df.select(shorten(F.col("z"))).collect()]
@@ -77,7 +93,9 @@ def test_drainage_worked_case(spark):
         assert {r["cell"] for r in got.filter("catch").collect()} == {7, 8, 13} and got.count() == 25
 
 
-def test_profile_classifier(spark):
+@pytest.mark.parametrize("held", [0, 10_000])
+def test_profile_classifier(spark, monkeypatch, held):
+    monkeypatch.setattr("ridgeline.operators.profile.HELD_CELLS", held)
     ridge, open_ = "10 10 200 10 10 10 10 10", "10 10 10 10 10 10 10 10"
     cells, grid = cells_of(spark, "\n".join([ridge, ridge[:-2] + "150", ridge, ridge, open_, open_, open_, open_]))
     cand = spark.createDataFrame([(1, 0.5, -1.5), (2, 0.5, -7.5)], "cand_id long, x double, y double")

@@ -68,7 +68,8 @@ def _with_neighbours(rows: DataFrame, refs: DataFrame) -> DataFrame:
     heights = spread.groupBy("cx", "cy", "bucket").agg(F.count(F.lit(1)).alias("n"))
     cells = heights.groupBy("cx", "cy").agg(F.sum("n").alias("near_n"))
     own = rows.select("key", "value", F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy")).filter("cx IS NOT NULL AND cy IS NOT NULL")
-    reading = F.explode(F.array(*(F.struct(F.lit(u).alias("u"), _bucket(F.col("value") * k).alias("b")) for u, k in METRES.items())))
+    # no known height lies outside 1 to 9000 m, so readings out there need not be looked up
+    reading = F.explode(F.filter(F.array(*(F.struct(F.lit(u).alias("u"), F.when((F.col("value") * k).between(0.95, 9500), _bucket(F.col("value") * k)).alias("b")) for u, k in METRES.items())), lambda r: r["b"].isNotNull()))
     asked = own.filter("value > 0").select("key", "cx", "cy", reading.alias("r")).select("key", "cx", "cy", "r.u", F.explode(F.array(*(F.col("r.b") + d for d in (-1, 0, 1)))).alias("bucket"))
     found = asked.join(heights, ["cx", "cy", "bucket"]).groupBy("key").agg(*(F.sum(F.when(F.col("u") == u, F.col("n")).otherwise(0)).cast("double").alias(f"near_{u}") for u in UNITS))
     out = rows.join(found, "key", "left").join(own.select("key", "cx", "cy").join(cells, ["cx", "cy"]).select("key", "near_n"), "key", "left").join(refs.select("key", "ref_unit"), "key", "left")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 BINS = 64
+#: Probability that is spread over all classes: a sample cannot tell what is rarer than this.
+FLOOR = 0.02
 
 
 class Forest:
@@ -53,7 +55,7 @@ class Forest:
 
     def _heated(self, p: np.ndarray, heat: float) -> np.ndarray:
         q = np.maximum(p, 1e-4) ** (1 / heat)
-        return q / q.sum(1, keepdims=True)
+        return (1 - FLOOR) * q / q.sum(1, keepdims=True) + FLOOR / self.classes
 
     def _grow(self, b: np.ndarray, y: np.ndarray, w: np.ndarray):
         f, c = b.shape[1], self.classes

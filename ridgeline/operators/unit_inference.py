@@ -48,7 +48,7 @@ def _references(rows: DataFrame) -> DataFrame:
     remark = F.col("remark_unit").isNull() | (F.col("remark_unit") == F.col("note_unit"))
     by_note = F.when(F.col("note_unit").isin(*UNITS) & remark, F.col("note_unit"))
     with_sibling = F.when(F.col("sibling").isNull() | (F.col("sibling_unit") == F.col("note_unit")) | F.col("note_unit").isin("ft", "dm"), by_note)
-    unit = F.coalesce("stated", F.when(F.col("decimals").isNotNull() & F.col("written"), F.lit(None)).otherwise(with_sibling), F.when(~F.col("written") & F.col("note_unit").isNotNull(), F.col("remark_unit")))
+    unit = F.coalesce("stated", F.when(F.col("decimals").isNotNull() & F.col("written"), F.lit(None)).otherwise(with_sibling), F.when(~F.col("written") & (F.col("note_unit") == "mixed"), F.col("remark_unit")))
     return rows.withColumns({"ref_unit": unit, "m": to_metres(F.col("value"), unit)}).filter("m BETWEEN 1 AND 9000 AND x IS NOT NULL AND y IS NOT NULL").select("key", "ref_unit", "m", "x", "y")
 
 
@@ -88,6 +88,12 @@ def _code(c: Column) -> Column:
 _NEAR = [f"near_{u}" for u in UNITS]
 
 
+def _against(remark: np.ndarray, note: np.ndarray) -> np.ndarray:
+    """Whether a remark beside the number says the same as the note on the source: 0 no remark, 1 the same, 2 nothing clear in the note, 3 another unit."""
+    n = len(UNITS)
+    return np.where(remark >= n, 0.0, np.where(note >= n, 2.0, np.where(remark == note, 1.0, 3.0)))
+
+
 def _features(f: pd.DataFrame, shares: dict[str, np.ndarray]) -> np.ndarray:
     n = len(f)
     value = f["value"].to_numpy(float)
@@ -100,6 +106,7 @@ def _features(f: pd.DataFrame, shares: dict[str, np.ndarray]) -> np.ndarray:
             f["note_code"].to_numpy(float),
             f["remark_code"].to_numpy(float),
             f["sibling_code"].to_numpy(float),
+            _against(f["remark_code"].to_numpy(float), f["note_code"].to_numpy(float)),
             f["same"].to_numpy(float),
             np.log10(np.maximum(np.nan_to_num(f["prom_ft"].to_numpy(float)), 1)),
         ]

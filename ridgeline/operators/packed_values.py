@@ -52,10 +52,15 @@ def kind_of(mark: str) -> int:
     return KINDS.index("\n") if m == "\r" else KINDS.index("word") if m.isalpha() else KINDS.index("other")
 
 
+def _enclosed(text: str) -> bool:
+    """Whether one pair of brackets holds the whole text."""
+    return len(text) > 1 and text.find(_WRAPS.get(text[0], "\0")) == len(text) - 1
+
+
 def atoms(text: str) -> tuple[list[str], list[str]]:
     """The stretches of a text and the possible separators between them (one fewer). A text within brackets is read as a list whose items may stand in single quotes."""
     body, pattern = text.strip(), _TOKEN
-    if len(body) > 1 and _WRAPS.get(body[0]) == body[-1]:
+    if _enclosed(body):
         body, pattern = body[1:-1], _SINGLE
     parts, marks, at, look = [], [], 0, 0
     while m := pattern.search(body, look):
@@ -76,7 +81,7 @@ def clean(value: str) -> str:
     for q in "\"'":
         if len(v) > 1 and v[0] == v[-1] == q and not v[1:-1].replace(q + q, "").count(q):
             return v[1:-1].replace(q + q, q).strip()
-    if len(v) > 1 and _WRAPS.get(v[0]) == v[-1]:
+    if _enclosed(v):
         return v[1:-1].strip()
     return v
 

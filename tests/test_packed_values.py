@@ -48,4 +48,5 @@ def test_long_text_and_repeats(spark):
 
 
 def test_atoms_and_clean():
+    assert atoms("[a];[b]") == (["[a]", "[b]"], [";"]) and atoms("(a; b)") == (["a", " b"], [";"]) and clean("(a) (b)") == "(a) (b)"
     assert atoms('"a;b";c') == (['"a;b"', "c"], [";"]) and clean(' "a ""b""" ') == 'a "b"' and clean("[x]") == "x" and clean("O'Neil'") == "O'Neil'"

@@ -196,7 +196,7 @@ def d8(spark, d):
 
 def fill(spark, d):
     """Filled heights."""
-    return fill_depressions(*_raster(spark, d), SIZE).select("cell", F.col("elev").cast("long").alias("elev"), F.col("hops").cast("long").alias("hops"))
+    return fill_depressions(*_raster(spark, d), SIZE).select("cell", F.col("elev").cast("long").alias("elev"))
 
 
 def catchment_raw(spark, d):

@@ -37,12 +37,19 @@ def _maxima(steps: str) -> str:
 GROUP BY r.cell, r.z HAVING bool_and(n.cell IS NULL OR (r.z, r.cell) > (n.z, n.cell))"""
 
 
+def _marks(step: str, seeds: str = "seed", near: str = "(n.row = r.row AND abs(n.col - r.col) = 1) OR (n.col = r.col AND abs(n.row - r.row) = 1)") -> str:
+    """CTEs up to m(cell, h): the least height that a path from the seeds must climb to."""
+    return f"""WITH RECURSIVE {_RASTER}, {_LINE}, {_CELLS}, {_POINTS},
+rim AS (SELECT cell FROM r, g WHERE row IN (0, nrows - 1) OR col IN (0, 63)),
+e AS (SELECT r.cell AS a, n.cell AS b, n.z FROM r JOIN r n ON {near}),
+m(cell, h) USING KEY (cell) AS (SELECT r.cell, r.z FROM r JOIN {seeds} USING (cell)
+  UNION SELECT e.b, min(greatest(m.h, e.z)) FROM m JOIN e ON e.a = m.cell LEFT JOIN recurring.m AS old ON old.cell = e.b WHERE {step} (old.h IS NULL OR greatest(m.h, e.z) < old.h) GROUP BY e.b),
+sn AS (SELECT peak_id, r.cell, r.z FROM pp JOIN r ON r.row BETWEEN pp.row - 3 AND pp.row + 3 AND r.col BETWEEN pp.col - 3 AND pp.col + 3 QUALIFY row_number() OVER (PARTITION BY peak_id ORDER BY z DESC, r.row, r.col) = 1)
+"""
+
+
 def _reach(step: str) -> str:
-    return f"""WITH RECURSIVE {_RASTER}, {_LINE}, {_CELLS},
-e AS (SELECT r.cell AS a, n.cell AS b, n.z FROM r JOIN r n ON (n.row = r.row AND abs(n.col - r.col) = 1) OR (n.col = r.col AND abs(n.row - r.row) = 1)),
-m(cell, h) USING KEY (cell) AS (SELECT r.cell, r.z FROM r JOIN seed USING (cell)
-  UNION SELECT e.b, min(greatest(m.h, e.z)) FROM m JOIN e ON e.a = m.cell LEFT JOIN recurring.m AS old ON old.cell = e.b WHERE {step} (old.h IS NULL OR greatest(m.h, e.z) < old.h) GROUP BY e.b)
-SELECT cell, h AS mark FROM m"""
+    return _marks(step) + "SELECT cell, h AS mark FROM m"
 
 
 _FOUR = "(-1, 0), (1, 0), (0, -1), (0, 1)"
@@ -85,6 +92,9 @@ SELECT 'I 90' AS name, count(*) AS segments, min(least(s[1], s[3])) AS west, max
 QUALIFY row_number() OVER (PARTITION BY peak_id ORDER BY z DESC, r.row, r.col) = 1""",
     "reach_mark": _reach("e.z >= m.h - 150 AND"),
     "ceiling_mark": _reach(""),
+    "fill_depressions": _marks("", "rim", "abs(n.row - r.row) <= 1 AND abs(n.col - r.col) <= 1 AND n.cell <> r.cell") + "SELECT cell, h AS elev FROM m",
+    "classify_ascent": _marks("e.z >= m.h - 150 AND") + "SELECT peak_id, CAST(z AS FLOAT) AS summit_elev_m, h IS NOT NULL AS frontrow, CAST(h - z AS DOUBLE) AS approach_crest_above_m FROM sn LEFT JOIN m USING (cell)",
+    "classify_ceiling": _marks("") + "SELECT peak_id, CAST(z AS FLOAT) AS summit_elev_m, CAST(h - z AS DOUBLE) AS barrier_above_m, coalesce(h - z <= 0, false) AS frontrow FROM sn LEFT JOIN m USING (cell)",
     "d8_receivers": f"WITH {_RASTER}, {_D8} SELECT cell, receiver FROM rec",
     "catchment": f"WITH RECURSIVE {_RASTER}, {_LINE}, {_CELLS}, {_D8}, {_CATCH} SELECT cell FROM ca",
     "divide_test": f"""WITH RECURSIVE {_RASTER}, {_LINE}, {_CELLS}, {_D8}, {_CATCH}, {_POINTS}
@@ -125,5 +135,8 @@ CASE WHEN frontrow THEN 'front' ELSE 'behind' END AS cls, name FROM pn""",
     "gpx_waypoints": f"""WITH {_NAMES}, w AS (SELECT *, 'elev ' || {_W.format("elev_ft")} || ' ft, prominence ' || {_W.format("prom_ft")} || ' ft' || CASE WHEN frontrow THEN '' ELSE ', occluded (+0 m barrier)' END AS note,
   replace(replace(replace(CASE WHEN name NOT IN ('', 'nan', 'None') THEN name ELSE {_W.format("elev_ft")} || 'ft pk (P' || {_W.format("prom_ft")} || ')' END, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS label FROM pn WHERE elev_ft IS NOT NULL)
 SELECT peak_id, '<wpt lat="' || printf('%.6f', lat) || '" lon="' || printf('%.6f', lon) || '"><ele>' || printf('%.1f', round_even(elev_ft * 0.3048, 1)) || '</ele><name>' || label || '</name><cmt>' || note || '</cmt><desc>' || note || '</desc><sym>Summit</sym></wpt>' AS wpt FROM w""",
+    "visible_waypoints": f"""WITH {_NAMES} SELECT peak_id, '<wpt lat="' || printf('%.6f', lat) || '" lon="' || printf('%.6f', lon) || '"><ele>' || printf('%.1f', round_even(round_even(elev_ft, 0) * 0.3048, 1)) || '</ele><name>'
+  || replace(replace(CASE WHEN name <> '' THEN name ELSE {_W.format("elev_ft")} || 'ft pk' END, '&', '&amp;'), '<', '&lt;') || '</name><cmt>front, prominence ' || {_W.format("prom_ft")} || ' ft</cmt><sym>Summit</sym></wpt>' AS wpt
+FROM pn WHERE prom_ft >= 500 AND frontrow AND elev_ft IS NOT NULL""",
     "unit_texts": f"WITH {_COMPUTED} SELECT peak_id, {_W.format('prom_m / 0.3048')} AS ft, printf('%.6f', lat) AS lat FROM pc",
 }

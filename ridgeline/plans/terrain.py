@@ -246,7 +246,7 @@ def by_profile(spark, d):
     """First-row test by straight profiles, with details."""
     cells, grid = _raster(spark, d)
     peaks = _points(spark, d, grid).select("peak_id", grid.x(F.col("col")).alias("x"), grid.y(F.col("row")).alias("y"))
-    return classify_by_profile(peaks, cells, _pixel_stations(spark, d), grid, ASCENT, 8)
+    return classify_by_profile(peaks, cells, _pixel_stations(spark, d), grid, ASCENT)
 
 
 def profile_counts(spark, d):

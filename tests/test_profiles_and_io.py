@@ -14,9 +14,10 @@ from ridgeline.functions.geodesic import inverse
 from ridgeline.functions.text import peak_label
 from ridgeline.operators.ascent import classify_by_ascent, classify_by_ceiling
 from ridgeline.operators.drainage import catchment, classify_by_drainage, drains_to
-from ridgeline.operators.profile import analyze, barrier_in, barrier_of_series, classify_by_profile, segments_of, shorten, stations
-from ridgeline.operators.raster import mosaic
+from ridgeline.operators.profile import CANDIDATES, analyze, barrier_in, barrier_of_series, classify_by_profile, profile_of, segments_of, shorten, stations
+from ridgeline.operators.raster import mosaic, snap_summits
 from ridgeline.operators.report import class_counts, cross_check, prominence_bands
+from ridgeline.plans import terrain
 from ridgeline.sinks.exports import app_payload, export_all, write_app
 from ridgeline.sources.features import is_route, named, present, route
 from ridgeline.sources.geopackage import GeoPackage, points_of, wkb_of
@@ -106,6 +107,28 @@ def test_profile_classifier(spark, monkeypatch, held):
     assert not one["frontrow"] and one["blk"] and one["bar"] > one["lo"] and one["z"] == [10, 10, 200, 10, 10, 10, 10, 150]
 
 
+def test_profile_query_tries_all_candidates(spark, tmp_path):
+    """The query against every profile from the 30 nearest stations; the 8 nearest alone give another result."""
+    rng = np.random.default_rng(4)
+    v = rng.uniform(-0.3, 0.3, (120, 64)).round(4)
+    spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(k,) for k in range(7)], "n_nationkey long").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(k,) for k in range(120)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r["peak_id"]: r["frontrow"] for r in terrain.by_profile(spark, str(tmp_path)).collect()}
+    cells, grid = terrain._raster(spark, str(tmp_path))
+    z = np.floor(v * 1000)
+    at = sorted((r["cand_id"], r["x"], r["y"]) for r in terrain._pixel_stations(spark, str(tmp_path)).collect())
+    snapped = {r["peak_id"]: (r["row"], r["col"]) for r in snap_summits(terrain._points(spark, str(tmp_path), grid), cells, grid, "peak_id").collect()}
+    want = {8: {}, CANDIDATES: {}}
+    for k, (row, col) in snapped.items():
+        px, py = k * 13 % 64 + 0.5, -(k * 7 % 120 + 0.5)
+        near = sorted(at, key=lambda s: (np.hypot(s[1] - px, s[2] - py), s[0]))
+        clear = [not barrier_in(profile_of(z, grid, x, y, col + 0.5, -(row + 0.5)), terrain.ASCENT)[0] for _, x, y in near[:CANDIDATES]]
+        for n, d in want.items():
+            d[k] = any(clear[:n])
+    assert CANDIDATES == 30 <= len(at) and want[8] != want[30] and got == want[30]
+
+
 def test_reports(spark):
     ours = spark.createDataFrame([(1, 0.0, 0.0, 300.0), (2, 5000.0, 0.0, 2500.0)], "peak_id long, x double, y double, prom_ft double")
     ref = spark.createDataFrame([(1, 100.0, 0.0, 290.0), (2, 0.0, 300.0, 310.0), (3, 9e5, 0.0, 1.0)], "peak_id long, x double, y double, prom_ft double")

@@ -129,8 +129,9 @@ def posterior(code: dict[str, np.ndarray], share: float, m: dict[str, np.ndarray
     return 1 / (1 + np.exp(-odds))
 
 
-def link(pairs: DataFrame, levels: dict[str, int], agreeing: dict[str, int]) -> DataFrame:
-    """Adds `confidence` to pairs that carry a column of agreement levels per comparison. `pairs` is read twice."""
+def link(pairs: DataFrame, levels: dict[str, int], agreeing: dict[str, int], rivals: str | None = None) -> DataFrame:
+    """Adds `confidence` to pairs that carry a column of agreement levels per comparison. `pairs` is read twice. rivals: a column of how many records the pair
+    was found among by what they have in common; the odds are divided by it."""
     counts = pairs.groupBy(*levels).agg(F.count(F.lit(1)).alias("n")).toPandas()  # at most the product of (levels + 1) rows
     if not len(counts):
         return pairs.withColumn("confidence", F.lit(None).cast("double"))
@@ -139,4 +140,6 @@ def link(pairs: DataFrame, levels: dict[str, int], agreeing: dict[str, int]) ->
     for k in levels:
         weights = F.array(*(F.lit(float(w)) for w in np.log(m[k] / u[k])))
         odds = odds + F.coalesce(F.try_element_at(weights, F.col(k) + 1), F.lit(0.0))
+    if rivals is not None:
+        odds = odds - F.log(F.greatest(F.col(rivals), F.lit(1)).cast("double"))
     return pairs.withColumn("confidence", F.lit(1.0) / (F.lit(1.0) + F.exp(-odds)))

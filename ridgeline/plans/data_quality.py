@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ridgeline.functions.geo import mercator_x, mercator_y
@@ -90,8 +91,8 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("left_id").alias("peak_id"), F.col("right_id").alias("osm_id"))
 
 
-#: Projected metres within which records are compared, and the features that may bear one name for it to find a record without a position.
-LINK_RADIUS, RARE_NAME = 1000.0, 20
+#: Projected metres within which records are compared, and the side of the squares within which they do not rule each other out.
+LINK_RADIUS, PLACE = 1000.0, 5000.0
 #: Comparisons: number of levels, and the level from which each starts out as a sign of a match.
 LINK_LEVELS = {"name": 4, "distance": 6, "elevation": 5, "prominence": 4}
 LINK_AGREE = {"name": 2, "distance": 2, "elevation": 3, "prominence": 2}
@@ -113,8 +114,10 @@ def _least_difference(a: Column, b: Column) -> Column:
 def linked_summits(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of records and features with the levels of their comparisons and the confidence that they are the same summit.
 
-    Blocking: all within LINK_RADIUS of each other; and, where a side has no position, the same rare name and a height within two hundredths. A name that more
-    than RARE_NAME features bear says too little to find a summit without a position."""
+    Blocking: all within LINK_RADIUS of each other; and, where a side has no position, the same name, however many bear it, and a height within two hundredths.
+    Only records without a position meet all bearers of their name, so a common name gives no more pairs than these have bearers of like height. The more
+    bear the name, the less it says: the odds of such a pair are divided by their number on the other side, and, as a summit is in one place, set against
+    those of the same record's pairs with other places (squares of PLACE metres)."""
     left = one_delivery(table(spark, folder, "peaks_corridor"), "peak_id").select(
         "peak_id", "label", "prom_ft", _readings(F.col("elev_ft"), _LEFT_UNITS).alias("h1"), mercator_x(F.col("lon")).alias("x"), mercator_y(F.col("lat")).alias("y")
     )
@@ -125,18 +128,26 @@ def linked_summits(spark: SparkSession, folder: str) -> DataFrame:
     left, right = left.withColumn("lkey", name_key("label")), right.withColumn("rkey", name_key("name"))
     near = within_distance(left, "peak_id", right, "osm_id", LINK_RADIUS).select(F.col("left_id").alias("peak_id"), F.col("right_id").alias("osm_id"), F.col("distance").alias("apart"))
     bucket = lambda h, d: F.explode(F.array_distinct(F.transform(h, lambda v: F.floor(F.ln(v) * 50) + d)))
-    rare = right.filter("rkey IS NOT NULL").groupBy("rkey").agg(F.count(F.lit(1)).alias("bearers")).filter(F.col("bearers") <= RARE_NAME)
-    a = left.filter("lkey IS NOT NULL").select("peak_id", F.col("lkey").alias("rkey"), F.col("x").isNull().alias("lost"), bucket(F.col("h1"), F.lit(0)).alias("b"))
-    a = a.select("peak_id", "rkey", "lost", F.explode(F.array(*(F.col("b") + d for d in (-1, 0, 1)))).alias("b"))
-    b = right.filter("rkey IS NOT NULL").join(rare, "rkey").select("osm_id", "rkey", F.col("x").isNull().alias("rlost"), bucket(F.col("h2"), F.lit(0)).alias("b"))
-    far = a.join(b, ["rkey", "b"]).filter("lost OR rlost").select("peak_id", "osm_id").distinct().withColumn("apart", F.lit(None).cast("double"))
-    pairs = near.unionByName(far).join(left.drop("x", "y", "lkey"), "peak_id").join(right.drop("x", "y", "rkey"), "osm_id")
+    place = lambda k: F.coalesce(F.concat(F.floor(F.col("x") / PLACE), F.lit("/"), F.floor(F.col("y") / PLACE)), F.col(k).cast("string"))
+    a = left.filter("lkey IS NOT NULL").select("peak_id", F.col("lkey").alias("rkey"), F.col("x").isNull().alias("lost"), place("peak_id").alias("place"), bucket(F.col("h1"), F.lit(0)).alias("b"))
+    b = right.filter("rkey IS NOT NULL").select("osm_id", "rkey", F.col("x").isNull().alias("rlost"), place("osm_id").alias("place"), bucket(F.col("h2"), F.lit(0)).alias("b"))
+    beside = F.explode(F.array(*(F.col("b") + d for d in (-1, 0, 1)))).alias("b")
+    rivals = lambda df: df.filter("rkey IS NOT NULL").groupBy("rkey").agg(F.count(F.lit(1)).alias("rivals"))
+    of = lambda k: ("peak_id", "osm_id", "rivals", F.struct(F.lit(k).alias("side"), F.col(k).alias("id"), "place").alias("of"))
+    far = a.filter("lost").select("peak_id", "rkey", beside).join(rivals(right), "rkey").join(b, ["rkey", "b"]).select(*of("peak_id"))
+    back = b.filter("rlost").select("osm_id", "rkey", beside).join(rivals(left.withColumnRenamed("lkey", "rkey")), "rkey").join(a, ["rkey", "b"]).select(*of("osm_id"))
+    far = far.unionByName(back).groupBy("peak_id", "osm_id").agg(F.max("rivals").alias("rivals"), F.min("of").alias("of")).withColumn("apart", F.lit(None).cast("double"))
+    pairs = near.withColumn("rivals", F.lit(1).cast("long")).unionByName(far, allowMissingColumns=True).join(left.drop("x", "y", "lkey"), "peak_id").join(right.drop("x", "y", "rkey"), "osm_id")
     compared = pairs.select(
-        "peak_id", "osm_id", "apart", name_agreement("label", "name").alias("name"), steps(F.col("apart"), 700, 450, 300, 150, 60).alias("distance"),
+        "peak_id", "osm_id", "apart", "rivals", "of", name_agreement("label", "name").alias("name"), steps(F.col("apart"), 700, 450, 300, 150, 60).alias("distance"),
         steps(_least_difference(F.col("h1"), F.col("h2")), 0.05, 0.02, 0.008, 0.003).alias("elevation"),
         steps(F.array_min(F.transform("p2", lambda p: F.abs(p - F.col("prom_ft")) / F.greatest(p, F.col("prom_ft")))), 0.15, 0.06, 0.02).alias("prominence"),
     )
-    return link(cut(compared), LINK_LEVELS, LINK_AGREE)
+    found = link(cut(compared), LINK_LEVELS, LINK_AGREE, "rivals")
+    odds = F.col("confidence") / (1 - F.col("confidence"))
+    total, here = (F.sum("odds").over(W.partitionBy(*by)) for by in (("of.side", "of.id"), ("of.side", "of.id", "of.place")))
+    lost = found.filter("apart IS NULL").withColumn("odds", odds).withColumn("confidence", F.col("odds") / (1 + F.col("odds") + F.greatest(total - here, F.lit(0.0)))).drop("odds")
+    return found.filter("apart IS NOT NULL").unionByName(lost).drop("rivals", "of")
 
 
 def _readings_ft(text: Column) -> Column:

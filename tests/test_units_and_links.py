@@ -8,6 +8,7 @@ from ridgeline.functions.heights import number_in, stated_unit, unit_of_note, un
 from ridgeline.operators.forest import Forest
 from ridgeline.operators.record_linkage import edit_share, fit_patterns, link, name_level, posterior
 from ridgeline.operators.unit_inference import infer_units
+from ridgeline.plans.data_quality import linked_summits
 
 TEXTS = {
     "1000": (1000.0, None), "1,035 m": (1035.0, "m"), "0,786 km": (0.786, "km"), "approx. 0.71 kilometres": (0.71, "km"), "10030′": (10030.0, "ft"), "ca. 2404 foot": (2404.0, "ft"), "ft 10128": (10128.0, "ft"), "10331 Fuß": (10331.0, "ft"),
@@ -88,3 +89,24 @@ def test_patterns_are_told_apart():
 def test_link_of_nothing(spark):
     df = spark.createDataFrame([], "peak_id long, osm_id long, a int")
     assert link(df, {"a": 2}, {"a": 1}).count() == 0
+
+
+def _summits(spark, folder, left, right):
+    """Tables for linked_summits: left (peak_id, label, elev_ft, prom_ft, lon, lat), right (osm_id, name, ele, prominence, lon, lat)."""
+    spark.createDataFrame(left, "peak_id long, label string, elev_ft double, prom_ft double, lon double, lat double").write.parquet(f"{folder}/peaks_corridor.parquet")
+    df = spark.createDataFrame(right, "osm_id long, name string, ele string, prominence string, lon double, lat double")
+    df.select("osm_id", "name", "ele", "prominence", F.when(F.col("lon").isNotNull(), F.struct(F.col("lon").alias("x"), F.col("lat").alias("y"))).alias("geometry")).write.parquet(f"{folder}/osm_peaks.parquet")
+
+
+def test_common_names_find_records_without_position(spark, tmp_path):
+    bearers = [(k, "Red Shoulder", f"{1000 + 100 * k} m", None, -121.0 + k / 50, 47.0) for k in range(30)]
+    left = [(1, "Red Shoulder", 1500 / 0.3048, 400.0, None, None), (2, "Red Shoulder", 2000 / 0.3048, 400.0, -120.8, 47.0), (3, "Red Shoulder", 1200 / 0.3048, 400.0, -90.0, 40.0)]
+    _summits(spark, tmp_path, left, [*bearers, (99, "Red Shoulder", "1205 m", None, None, None)])
+    got = {(r["peak_id"], r["osm_id"]): r["apart"] for r in linked_summits(spark, str(tmp_path)).collect()}
+    assert (1, 5) in got and (3, 99) in got and got[2, 10] < 1 and (2, 5) not in got and (3, 2) not in got
+
+
+def test_bearers_of_a_name_rule_each_other_out(spark):
+    df = spark.createDataFrame([(k, 1, n) for k, n in enumerate((1, 1, 400))] + [(k, 0, 1) for k in range(9, 15)], "peak_id long, a int, rivals long")
+    plain, among = ({r["peak_id"]: r["confidence"] for r in link(df, {"a": 2}, {"a": 1}, r).collect()} for r in (None, "rivals"))
+    assert plain[0] == plain[2] == among[0] and abs(among[2] / (1 - among[2]) * 400 - plain[2] / (1 - plain[2])) < 1e-6

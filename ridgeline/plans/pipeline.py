@@ -1,4 +1,4 @@
-"""The whole run: elevation tiles to peaks, names, cross-check, route, first-row test and exports; every stage is kept under a hash of its parameters."""
+"""The whole run: elevation tiles to peaks, names, cross-check, route, first-row test and exports; every stage is kept under a hash of its parameters and inputs."""
 
 from __future__ import annotations
 
@@ -54,6 +54,14 @@ def materialize(spark: SparkSession, folder: str, stage: str, depends: object, m
     return spark.read.parquet(path)
 
 
+def fingerprint(rows: DataFrame) -> str:
+    """What tells a table's content from another's, whatever the order of its rows: its columns, the number of its rows and two sums of their hashes. Reads it once."""
+    text = F.to_json(F.struct(*(F.sort_array(F.map_entries(c)) if kind.startswith("map<") else F.col(c) for c, kind in ((f"`{c}`", k) for c, k in rows.dtypes))))
+    h = rows.select(F.xxhash64(text).alias("a"), F.xxhash64(text, F.lit(1)).alias("b"))
+    n, a, b = h.agg(F.count(F.lit(1)), *(F.sum(F.col(c).cast("decimal(38,0)")) for c in ("a", "b"))).first()
+    return f"{rows.dtypes} {n} {a} {b}"
+
+
 def elevation(tiles: DataFrame, s: Settings) -> tuple[DataFrame, R.Grid]:
     """Cells and grid of the mosaic of tiles (x, y, z_m ARRAY<FLOAT>); implausible heights and no-data are NULL."""
     g = grid_of(s.box, s.zoom)
@@ -96,16 +104,17 @@ def run(spark: SparkSession, tiles: DataFrame, features: DataFrame, ways: DataFr
     """Run all stages. tiles: x, y, z_m; features: osm_id, name, lon, lat; ways: like osm_ways; reference: lines of the peak list (value). Gives the classified
     peaks, the cross-check and the paths of the exports."""
     cells, grid = elevation(tiles, s)
-    base = (s.box, s.zoom, s.tile)
+    base = (s.box, s.zoom, s.tile, fingerprint(tiles.select("x", "y", "z_m")))
+    roads = ("I 90", fingerprint(ways))
     cells = materialize(spark, folder, "elevation", base, lambda: cells, overwrite)
     peaks = materialize(spark, folder, "peaks", (base, s.least_prom_m, s.neighbours), lambda: peak_table(cells, grid, s.least_prom_m, s.neighbours, s.block), overwrite)
     peaks = attach_names(peaks, features, s.name_radius)
     xy = {"x": mercator_x(F.col("lon")), "y": mercator_y(F.col("lat"))}
     listed = in_corridor(parse_peak_list(reference, "value"), s.box).withColumns({"peak_id": F.monotonically_increasing_id(), **xy})
     checked = cross_check(peaks.withColumns(xy), listed, s.match_radius)
-    road = materialize(spark, folder, "route", "I 90", lambda: route(ways), overwrite)
+    road = materialize(spark, folder, "route", roads, lambda: route(ways), overwrite)
     done, details = classify(peaks, cells, road, grid, s)
-    done = materialize(spark, folder, "classified", s.__dict__, lambda: done, overwrite)
+    done = materialize(spark, folder, "classified", (s.__dict__, base, roads, fingerprint(features)), lambda: done, overwrite)
     out = os.path.join(folder, "exports")
     paths = export_all(done, out)
     paths["app"] = write_app(done, road, details, os.path.join(out, "app.html"))

@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from ridgeline.plans.pipeline import Settings, materialize, run
+from ridgeline.plans.pipeline import Settings, fingerprint, materialize, run
 from ridgeline.sources.tiles import grid_of, tile_extent
 
 BOX = (-122.0, 47.0, -121.5, 47.3)
@@ -42,3 +43,17 @@ def test_materialize_by_parameters(spark, tmp_path):
     for k, dep in ((1, "a"), (2, "a"), (3, "b")):
         materialize(spark, str(tmp_path), "x", dep, make(k))
     assert made == [1, 3] and materialize(spark, str(tmp_path), "x", "a", make(9), overwrite=True).count() == 9
+
+
+def test_late_rows_reach_a_second_run(spark, tmp_path):
+    s = Settings(BOX, 8, 16, 50.0, method="ceiling", block=16)
+    x0, y0, x1, y1 = tile_extent(BOX, 8)
+    top = [100.0] * 100 + [1500.0] + [100.0] * 155
+    tiles = lambda z: spark.createDataFrame([(x, y, z) for x in range(x0, x1 + 1) for y in range(y0, y1 + 1)], "x int, y int, z_m array<float>")
+    feature = lambda n: spark.createDataFrame([(k, "Top", -121.7, 47.2) for k in range(n)], "osm_id long, name string, lon double, lat double")
+    w = (grid_of(BOX, 8).x0 / 6378137) * 180 / np.pi
+    ways = spark.createDataFrame([(1, "LineString", "I 90", {"highway": "motorway"}, [[{"x": w + 0.1, "y": 47.0}, {"x": w + 1.0, "y": 47.1}]])], "osm_id long, geom_type string, ref string, tags map<string,string>, parts array<array<struct<x:double,y:double>>>")
+    lines = spark.createDataFrame([("bad",)], "value string")
+    first, second = (run(spark, tiles(z), feature(1), ways, lines, str(tmp_path), s)["peaks"].agg(F.max("elev_m")).first()[0] for z in (top, [v + 50 for v in top]))
+    assert (first, second) == (1500.0, 1550.0)
+    assert fingerprint(ways) == fingerprint(ways.repartition(3)) != fingerprint(ways.limit(0)) and fingerprint(feature(1)) != fingerprint(feature(2))

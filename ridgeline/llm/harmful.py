@@ -2,18 +2,26 @@
 
 Words are undisguised first (spaced or dotted letters joined, letter-like digits and signs read as letters, invisible characters and repeated letters
 dropped) and then embedded by hash: a word's vector is the mean of those of the word and of its letter triples, so that a masked or misspelt word stays near.
-Filters of several widths run over a document's words, each pooled by its maximum, so one sentence is enough whatever surrounds it; a logistic output follows.
+Filters of several widths run over each sentence's words, each pooled by its maximum; a logistic output gives the sentence's probability, and a document is
+harmful unless none of its sentences is (noisy or). So one sentence is enough whatever surrounds it, and the sentences of a clean document are all clean.
 
-The labels are the reviewers' verdicts; documents on which they disagree or are undecided are left out. At most TRAIN_DOCS labelled documents are used, drawn
-by the hash of their id. FOLDS models are each trained without one fold, each by its own task, the score is their mean, and the thresholds - one per language with enough
-verdicts, else the common one - are those with the best F1 on the scores of documents that a model has not seen.
+The labels are the reviewers' verdicts; documents on which they disagree or are undecided are left out. Of the others a bounded sample is used: at most
+TRAIN_DOCS texts of TRAIN_BYTES bytes in all, none above LONGEST, drawn by the hash of their id. The loss allows for WRONG verdicts, and after a first
+round of training those that a model that has not seen them contradicts most clearly are left out of the second.
 
-NULL and empty texts score 0. Whole texts are read, in pieces of PIECE words that overlap. Equal texts score alike. Without any verdicts every score is NULL.
-Columns other than the named ones are not read.
+A text belongs to one of FOLDS folds by its hash, whether reviewed or not, and is scored by the models trained without that fold: what is measured on reviewed
+documents is what all others get. These held-out scores are calibrated by logistic regression with an offset for each language that is shrunk towards none;
+the calibrated odds are then moved to the share of harmful documents in the whole corpus, by language, as found by expectation-maximisation over the counts
+of scores (reviewers are sent more harmful documents than there are). A document is called harmful where its probability reaches the threshold with the best
+expected F1 over the corpus; as probabilities are calibrated by language, that is another raw score in each.
+
+NULL and empty texts score 0. Whole texts are read, long sentences in pieces of PIECE words that overlap. Equal texts of one language score alike. Without
+enough verdicts (FOLDS of either kind) every score is NULL. Columns other than the named ones are not read.
 """
 
 from __future__ import annotations
 
+import os
 import pickle
 import re
 import zlib
@@ -26,15 +34,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm.text import plain
-from ridgeline.session import stable_unit
+from ridgeline.session import cut, stable_unit
 
 SLOTS, DIM, FILTERS, WIDTHS = 1 << 15, 24, 24, (1, 2, 3, 4, 6)
-TRAIN_DOCS, FOLDS, BATCH = 15_000, 3, 64
-#: Passes over the training documents, and the fewest and most steps.
-PASSES, STEPS = 10, (400, 1200)
-PIECE, OVERLAP = 512, 16
-#: Positive verdicts that a language needs for a threshold of its own.
-OWN_THRESHOLD = 25
+#: The sample of labelled documents: texts, bytes in all and of one, at most.
+TRAIN_DOCS, TRAIN_BYTES, LONGEST = 15_000, 64 << 20, 1 << 20
+#: Folds, models of each (by round), documents a step, passes over the documents (by round), fewest steps.
+FOLDS, SEEDS, BATCH, PASSES, LEAST_STEPS = 3, (1, 2), 64, (10, 12), 400
+PIECE, OVERLAP = 64, 8
+#: Share of verdicts of either kind that the loss takes to be wrong, and the held-out probability of its opposite from which a verdict is left out.
+WRONG, CONTRADICTED = 0.02, 0.93
+#: Share of words hidden in training, and of pooled features kept.
+HIDDEN, KEPT = 0.08, 0.6
+#: Bins of raw scores (log odds between -BOUND and BOUND) in which the corpus is counted.
+BINS, BOUND = 240, 12.0
 
 #: Signs read as letters, where a word has both. Fixed values.
 LOOKALIKE = str.maketrans({"@": "a", "$": "s", "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "!": "i", "|": "l", "€": "e"})
@@ -42,26 +55,28 @@ _SPACED = re.compile(r"(?<![\w*])(?:[^\W\d_] ){2,}[^\W\d_](?![\w*])")
 _DOTTED = re.compile(r"(?<![\w*])(?:[^\W\d_][.\-_·]){2,}[^\W\d_](?![\w*])")
 _TOKEN = re.compile(r"[\w@$*|€][\w@$*|€!']*|[!?]")
 _RUN = re.compile(r"(.)\1+")
+_END = re.compile(r"(?<=[.!?…])\s+|\.\.\.")
+
+
+def _read(word: str) -> str:
+    """A word with look-alike signs read as letters and repeated letters dropped; numbers are all one word."""
+    if word.isdigit():
+        return "9"
+    bare = word.rstrip("!'")
+    if bare != word and bare and not bare.endswith("$"):
+        word = bare
+    if any(c in "@$013457!|€" for c in word) and any(c.isalpha() for c in word):
+        word = word.translate(LOOKALIKE)
+    return _RUN.sub(r"\1", word)
 
 
-def tokens(text: str | None) -> list[str]:
-    """The undisguised words of a text, and its exclamation and question marks."""
+def sentences(text: str | None) -> list[list[str]]:
+    """The undisguised words of a text, with its exclamation and question marks, by sentence."""
     if not text:
         return []
     t = plain(text)
     t = _SPACED.sub(lambda m: m[0].replace(" ", ""), _DOTTED.sub(lambda m: re.sub(r"[.\-_·]", "", m[0]), t))
-    out = []
-    for w in _TOKEN.findall(t):
-        if w.isdigit():
-            out.append("9")
-            continue
-        bare = w.rstrip("!'")
-        if bare != w and bare and not bare.endswith("$"):
-            w = bare
-        if any(c in "@$013457!|€" for c in w) and any(c.isalpha() for c in w):
-            w = w.translate(LOOKALIKE)
-        out.append(_RUN.sub(r"\1", w))
-    return out
+    return [ws for ws in ([_read(w) for w in _TOKEN.findall(part)] for part in _END.split(t)) if ws]
 
 
 def slots_of(word: str) -> list[int]:
@@ -78,13 +93,20 @@ class Encoder:
         self.ids: dict[str, int] = {"": 0}
         self.slots: list[list[int]] = [[0]]
 
-    def encode(self, text: str | None) -> np.ndarray:
-        ws = tokens(text)
-        for w in ws:
-            if w not in self.ids:
-                self.ids[w] = len(self.slots)
-                self.slots.append(slots_of(w))
-        return np.array([self.ids[w] for w in ws], np.int64)
+    def _of(self, word: str) -> int:
+        k = self.ids.get(word)
+        if k is None:
+            k = self.ids[word] = len(self.slots)
+            self.slots.append(slots_of(word))
+        return k
+
+    def encode(self, text: str | None) -> list[np.ndarray]:
+        """The sentences of a text, long ones in pieces."""
+        out = []
+        for ws in sentences(text):
+            a = np.array([self._of(w) for w in ws], np.int64)
+            out += [a[k : k + PIECE] for k in range(0, max(1, len(a) - OVERLAP), PIECE - OVERLAP)]
+        return out
 
     def flat(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Slots of the words in turn, where each begins, and how many each has."""
@@ -101,12 +123,23 @@ def _sums(key: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[first], np.add.reduceat(rows[order], first)
 
 
+def _runs(start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of runs of n from start, one after the other, and which run each is of."""
+    of = np.repeat(np.arange(len(n)), n)
+    return start[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n), of
+
+
+#: Each place of each filter width in turn: (width, place).
+_PLACES = [(k, j) for k, w in enumerate(WIDTHS) for j in range(w)]
+
+
 @dataclass
 class Net:
-    """Embedding, filters (per width: weights, bias) and output of one model."""
+    """Embedding, filters (their weights place by place, side by side), output of one model."""
 
     emb: np.ndarray
-    filters: list[tuple[np.ndarray, np.ndarray]]
+    weights: np.ndarray
+    offset: np.ndarray
     out: np.ndarray
     bias: np.ndarray
 
@@ -115,74 +148,105 @@ class Net:
         r = np.random.default_rng(seed)
         emb = r.normal(0, 0.3, (SLOTS, DIM)).astype(np.float32)
         emb[0] = 0
-        filters = [(r.normal(0, (2 / (w * DIM)) ** 0.5, (w * DIM, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32)) for w in WIDTHS]
-        return cls(emb, filters, np.zeros(FILTERS * len(WIDTHS), np.float32), np.array([-1.0], np.float32))
-
-    def params(self) -> list[np.ndarray]:
-        return [self.emb, *(p for f in self.filters for p in f), self.out, self.bias]
-
-    def forward(self, enc: Encoder, docs: list[np.ndarray]):
-        """Logits of documents, and what the backward pass needs."""
-        pad, n = max(WIDTHS) - 1, max(1, max(map(len, docs)))
-        grid = np.zeros((len(docs), n + 2 * pad), np.int64)
-        for k, d in enumerate(docs):
-            grid[k, pad : pad + len(d)] = d
-        which, at = np.unique(grid, return_inverse=True)
+        weights = np.hstack([r.normal(0, (2 / (WIDTHS[k] * DIM)) ** 0.5, (DIM, FILTERS)) for k, _ in _PLACES]).astype(np.float32)
+        n = FILTERS * len(WIDTHS)
+        return cls(emb, weights, np.zeros(n, np.float32), r.normal(0, 0.05, n).astype(np.float32), np.array([-3.0], np.float32))
+
+    def dense(self) -> list[np.ndarray]:
+        return [self.weights, self.offset, self.out, self.bias]
+
+    def forward(self, enc: Encoder, pieces: list[np.ndarray], hide: np.random.Generator | None = None):
+        """Pooled features of pieces, and what the backward pass needs. Pieces lie one after the other with a blank on either side, filled up to the widest filter."""
+        size = np.array([max(len(x) + 2, max(WIDTHS)) for x in pieces])
+        first = np.cumsum(size) - size
+        line = np.zeros(size.sum(), np.int64)
+        at, _ = _runs(first + 1, np.array([len(x) for x in pieces]))
+        line[at] = np.concatenate(pieces)
+        if hide is not None:
+            line[hide.random(len(line)) < HIDDEN] = 0
+        which, line = np.unique(line, return_inverse=True)
         slots, starts, count = enc.flat(which)
         vectors = np.add.reduceat(self.emb[slots], starts) / count[:, None].astype(np.float32)
-        x = vectors[at.reshape(grid.shape)]
-        pooled, where = [], []
-        for w, (f, b) in zip(WIDTHS, self.filters, strict=True):
-            span = n + 2 * pad - w + 1
-            windows = np.lib.stride_tricks.sliding_window_view(x, w, axis=1).transpose(0, 1, 3, 2).reshape(len(docs) * span, w * DIM)
-            h = (windows @ f + b).reshape(len(docs), span, FILTERS)
-            best = h.argmax(1)
-            where.append(best)
-            pooled.append(np.maximum(np.take_along_axis(h, best[:, None], 1)[:, 0], 0))
-        p = np.hstack(pooled)
-        return p @ self.out + self.bias, (p, where, x, at.reshape(grid.shape), slots, starts, count, which)
-
-    def grads(self, kept, dz: np.ndarray, mask: np.ndarray):
-        """Gradients in the order of params(); the embedding's only for the slots used."""
-        p, where, x, at, slots, starts, count, which = kept
+        table = (vectors @ self.weights).reshape(len(which), len(_PLACES), FILTERS).transpose(1, 0, 2).copy()
+        heights, c = [], 0
+        for w in WIDTHS:
+            n = len(line) - w + 1
+            h = table[c][line[:n]]
+            for j in range(1, w):
+                h += table[c + j][line[j : j + n]]
+            heights.append(h)
+            c += w
+        pooled = []
+        for w, h in zip(WIDTHS, heights, strict=True):
+            last = first + size - w + 1
+            cuts = np.stack([first, np.minimum(last, len(h) - 1)], 1).ravel()
+            top = np.maximum.reduceat(h, cuts)[::2]
+            if last[-1] >= len(h):  # the last window of all lies beyond the cut
+                top[-1] = np.maximum(top[-1], h[-1])
+            pooled.append(top)
+        return np.maximum(np.hstack(pooled) + self.offset, 0), (line, first, size, vectors, slots, count, heights)
+
+    def grads(self, p: np.ndarray, kept, dz: np.ndarray, mask: np.ndarray):
+        """Gradients: the embedding's for the slots used, and those of dense(). Pieces without any are left out."""
+        line, first, size, vectors, slots, count, heights = kept
+        rows = np.flatnonzero(np.abs(dz) > 1e-5)
+        rows = rows if len(rows) else np.array([0])
+        p, mask, dz = p[rows], mask[rows], dz[rows]
         dp = (dz[:, None] * self.out) * mask * (p > 0)
-        out, word, back = [], [], []
-        rows = np.arange(len(x))[:, None]
-        for k, (w, (f, _)) in enumerate(zip(WIDTHS, self.filters, strict=True)):
-            d, best = dp[:, k * FILTERS : (k + 1) * FILTERS], where[k]
-            picked = np.stack([x[rows, best + j] for j in range(w)], 2)  # document, filter, place in window, dimension
-            out += [np.einsum("bf,bfjd->jdf", d, picked).reshape(w * DIM, FILTERS), d.sum(0)]
-            word += [at[rows, best + j].ravel() for j in range(w)]
-            back += [(d[:, :, None] * f[j * DIM : (j + 1) * DIM].T).reshape(-1, DIM) for j in range(w)]
-        touched, dv = _sums(np.concatenate(word), np.concatenate(back))
-        dv /= count[touched, None].astype(np.float32)
-        n = count[touched]
-        spread = np.repeat(np.arange(len(touched)), n)
-        used, de = _sums(slots[starts[touched][spread] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)], dv[spread])
-        return (used, de), out, (p * mask).T @ dz, dz.sum(keepdims=True)
-
-
-def train(enc: Encoder, docs: list[np.ndarray], y: np.ndarray, seed: int) -> Net:
-    """Adam on the logistic loss with dropout before the output."""
+        key, value, c = [], [], 0
+        for k, (w, h) in enumerate(zip(WIDTHS, heights, strict=True)):
+            span = size[rows] - w + 1
+            at, of = _runs(first[rows], span)
+            grid = np.full((len(rows), span.max(), FILTERS), -np.inf, np.float32)
+            grid[of, at - first[rows][of]] = h[at]
+            best = first[rows][:, None] + grid.argmax(1)
+            for j in range(w):
+                key.append(((line[best + j] * len(_PLACES) + c) * FILTERS + np.arange(FILTERS)).ravel())
+                value.append(dp[:, k * FILTERS : (k + 1) * FILTERS].ravel())
+                c += 1
+        dt = np.bincount(np.concatenate(key), weights=np.concatenate(value), minlength=len(count) * len(_PLACES) * FILTERS).reshape(len(count), -1).astype(np.float32)
+        dv = (dt @ self.weights.T) / count[:, None].astype(np.float32)
+        return _sums(slots, np.repeat(dv, count, axis=0)), [vectors.T @ dt, dp.sum(0), (p * mask).T @ dz, dz.sum(keepdims=True)]
+
+
+def noisy_or(z: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Log of the probability that none of a document's pieces is harmful, from the pieces' log odds."""
+    return np.bincount(owner, weights=-np.logaddexp(0, z), minlength=n) if len(z) else np.zeros(n)
+
+
+def _stack(docs: list[list[np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray]:
+    return [x for d in docs for x in d], np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+
+
+def loss_slope(z: np.ndarray, owner: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Slope of the mean log loss of documents by the log odds of their pieces, where WRONG of the labels of either kind are."""
+    p = 1 - np.exp(noisy_or(z, owner, len(y)))
+    q = WRONG + (1 - 2 * WRONG) * p
+    d = np.where(y > 0, -1 / q, 1 / (1 - q)) * (1 - 2 * WRONG) * (1 - p)
+    return (d[owner] / (1 + np.exp(-z)) / len(y)).astype(np.float32)
+
+
+def train(enc: Encoder, docs: list[list[np.ndarray]], y: np.ndarray, seed: int, passes: int) -> Net:
+    """Adam with words hidden at random and dropout before the output; the step falls to nothing over the passes, so the model settles."""
+    rows = [k for k, d in enumerate(docs) if d]
+    docs, y = [docs[k] for k in rows], y[rows]
     net, r = Net.new(seed), np.random.default_rng(seed)
-    dense = net.params()[1:]
+    dense = net.dense()
     m, v = [np.zeros_like(q) for q in dense], [np.zeros_like(q) for q in dense]
     me, ve = np.zeros_like(net.emb), np.zeros_like(net.emb)
-    target = y * 0.96 + 0.02  # verdicts are not always right
-    order, steps = np.zeros(0, np.int64), int(np.clip(PASSES * len(docs) / BATCH, *STEPS))
+    order, steps = np.zeros(0, np.int64), max(LEAST_STEPS, passes * len(docs) // BATCH)
     for t in range(1, steps + 1):
-        if len(order) < BATCH:
+        while len(order) < BATCH:
             order = np.concatenate([order, r.permutation(len(docs))])
         now, order = order[:BATCH], order[BATCH:]
-        z, kept = net.forward(enc, [docs[k] for k in now])
-        mask = (r.random(kept[0].shape) < 0.6).astype(np.float32) / 0.6
-        z = (kept[0] * mask) @ net.out + net.bias
-        dz = ((1 / (1 + np.exp(-z)) - target[now]) / len(now)).astype(np.float32)
-        (used, de), df, do, db = net.grads(kept, dz, mask)
+        pieces, owner = _stack([docs[k] for k in now])
+        p, kept = net.forward(enc, pieces, r)
+        mask = (r.random(p.shape) < KEPT).astype(np.float32) / KEPT
+        (used, de), g = net.grads(p, kept, loss_slope((p * mask) @ net.out + net.bias, owner, y[now]), mask)
         rate = 0.004 * min(1, t / 50) * (1 - t / (steps + 1)) ** 0.5
-        for k, g in enumerate([*df, do, db]):
-            m[k] = 0.9 * m[k] + 0.1 * g
-            v[k] = 0.99 * v[k] + 0.01 * g * g
+        for k, d in enumerate(g):
+            m[k] = 0.9 * m[k] + 0.1 * d
+            v[k] = 0.99 * v[k] + 0.01 * d * d
             dense[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-7) + rate * 0.002 * dense[k]
         me[used] = 0.9 * me[used] + 0.1 * de
         ve[used] = 0.99 * ve[used] + 0.01 * de * de
@@ -191,23 +255,23 @@ def train(enc: Encoder, docs: list[np.ndarray], y: np.ndarray, seed: int) -> Net
     return net
 
 
-def scores(nets: list[Net], enc: Encoder, docs: list[np.ndarray]) -> np.ndarray:
-    """Mean score of each document; long ones take the highest of their pieces."""
-    out = np.zeros(len(docs))
-    pieces = [(k, d[a : a + PIECE]) for k, d in enumerate(docs) for a in range(0, max(1, len(d) - OVERLAP), PIECE - OVERLAP) if len(d)]
-    pieces.sort(key=lambda x: len(x[1]))
-    for lo in range(0, len(pieces), 256):
-        part = pieces[lo : lo + 256]
-        z = np.mean([1 / (1 + np.exp(-n.forward(enc, [d for _, d in part])[0])) for n in nets], axis=0)
-        np.maximum.at(out, [k for k, _ in part], z)
+def raw_scores(nets: list[Net], enc: Encoder, docs: list[list[np.ndarray]]) -> np.ndarray:
+    """Mean log odds of each document over the nets, within BOUND; -BOUND for one without words."""
+    pieces, owner = _stack(docs)
+    out, order = np.zeros(len(docs)), np.argsort([len(x) for x in pieces], kind="stable")
+    for net in nets:
+        z = np.zeros(len(pieces))
+        for lo in range(0, len(order), 512):
+            part = order[lo : lo + 512]
+            z[part] = net.forward(enc, [pieces[k] for k in part])[0] @ net.out + net.bias
+        none = np.minimum(noisy_or(z, owner, len(docs)), -1e-12)
+        out += np.clip(np.log(-np.expm1(none)) - none, -BOUND, BOUND) / len(nets)
     return out
 
 
-def _best_threshold(s: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the thresholds with the best F1."""
-    cuts = np.linspace(0.05, 0.95, 91)
-    f1 = np.array([2 * (y & (s >= c)).sum() / max(1, (s >= c).sum() + y.sum()) for c in cuts])
-    return float(np.median(cuts[f1 >= f1.max() - 1e-9]))
+def fold_of(text: str | None) -> int:
+    """The fold of a text."""
+    return zlib.crc32((text or "").encode("utf-8", "surrogatepass")) % FOLDS
 
 
 def main_language(lang: Column) -> Column:
@@ -216,49 +280,83 @@ def main_language(lang: Column) -> Column:
     return F.when(two == "ge", "de").when(two == "sp", "es").otherwise(two)
 
 
+def calibrate(x: np.ndarray, y: np.ndarray, lang: np.ndarray) -> tuple[float, float, dict[str, float]]:
+    """Slope, intercept and offsets by language of the log odds that a document with raw score x is harmful. Newton steps; the offsets are held towards 0 by a penalty, so
+    a language with few verdicts keeps the common curve."""
+    names = sorted(set(lang) - {""})
+    a = np.column_stack([x, np.ones(len(x)), *(lang == k for k in names)]).astype(float)
+    hold = np.diag([0.01, 0.01, *[1.0] * len(names)])
+    w, centre = np.zeros(a.shape[1]), np.r_[1.0, np.zeros(a.shape[1] - 1)]
+    w[0] = 1
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+        step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + hold, a.T @ (y - p) - hold @ (w - centre))
+        w += np.clip(step, -2, 2)
+    return float(max(w[0], 0.05)), float(w[1]), dict(zip(names, w[2:].tolist(), strict=True))
+
+
 @dataclass
 class Model:
-    """What scoring needs, and how well the folds did on documents they had not seen."""
+    """What scoring needs: models by fold, the calibration of held-out scores, the share of harmful among the reviewed by language ("" for all), and the labelled
+    documents' held-out scores and labels (those kept), by which it was found."""
 
-    nets: list[Net]
-    thresholds: dict[str, float]
-    common: float
-    f1: float
+    nets: list[list[Net]]
+    slope: float
+    intercept: float
+    offsets: dict[str, float]
+    prior: dict[str, float]
+    held: np.ndarray
+    y: np.ndarray
 
 
 def fit(labelled: DataFrame) -> Model | None:
     """labelled: doc_id, text, lang, harmful (BOOLEAN), one row per document."""
-    n = labelled.count()
-    sample = labelled.filter(stable_unit(F.col("doc_id")) < TRAIN_DOCS / max(n, TRAIN_DOCS)).orderBy("doc_id").toPandas()
+    fits = labelled.filter(F.octet_length("text") <= LONGEST)
+    size = fits.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
+    rate = min(1.0, TRAIN_DOCS / max(size["n"], 1), TRAIN_BYTES / max(size["b"] or 0, 1))
+    sample = fits.filter(stable_unit(F.col("doc_id")) < rate).orderBy("doc_id").toPandas()  # at most about TRAIN_BYTES
     y = sample["harmful"].to_numpy(bool) if len(sample) else np.zeros(0, bool)
     if y.sum() < FOLDS or (~y).sum() < FOLDS:
         return None
-    fold = np.empty(len(y), np.int64)
-    for side in (y, ~y):
-        fold[side] = np.arange(side.sum()) % FOLDS
+    fold = np.array([fold_of(t) for t in sample["text"]])
     spark = labelled.sparkSession
-    sent = spark.sparkContext.broadcast((sample["text"].tolist(), y, fold))  # at most TRAIN_DOCS texts
-
-    def one(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for k in f["id"]:
-                texts, labels, part = sent.value
-                enc = Encoder()
-                docs = [enc.encode(t) for t in texts]
-                rows, held = np.flatnonzero(part != k), np.flatnonzero(part == k)
-                net = train(enc, [docs[i] for i in rows], labels[rows].astype(np.float32), int(k) + 1)
-                yield pd.DataFrame({"fold": [k], "model": [pickle.dumps((net, scores([net], enc, [docs[i] for i in held])))]})
-
-    unseen, nets = np.zeros(len(y)), []
-    models = spark.range(0, FOLDS, 1, FOLDS).mapInPandas(one, "fold long, model binary").collect()  # FOLDS models of fixed size; a sort in Spark would train them twice
-    for r in sorted(models, key=lambda r: r["fold"]):
-        net, unseen[fold == r["fold"]] = pickle.loads(r["model"])
-        nets.append(net)
-    common = _best_threshold(unseen, y)
-    lang = sample["lang"].fillna("").to_numpy()
-    own = {x: _best_threshold(unseen[lang == x], y[lang == x]) for x in set(lang) if x and y[lang == x].sum() >= OWN_THRESHOLD}
-    hit = unseen >= np.array([own.get(x, common) for x in lang])
-    return Model(nets, own, common, float(2 * (hit & y).sum() / max(1, hit.sum() + y.sum())))
+    texts = spark.sparkContext.broadcast(sample["text"].tolist())  # the bounded sample
+
+    def round_(keep: np.ndarray, seeds: int, passes: int) -> tuple[list[list[Net]], np.ndarray]:
+        """Models by fold, trained on what is kept, and the held-out raw score of every labelled document; a task a model."""
+        sent = spark.sparkContext.broadcast((y, fold, keep))
+
+        def one(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            os.environ.setdefault("OMP_NUM_THREADS", "1")
+            labels, part, kept = sent.value
+            for f in frames:
+                for k in f["id"]:
+                    enc = Encoder()
+                    docs = [enc.encode(t) for t in texts.value]
+                    rows, held = np.flatnonzero((part != k % FOLDS) & kept), np.flatnonzero(part == k % FOLDS)
+                    net = train(enc, [docs[i] for i in rows], labels[rows].astype(np.float32), int(k) + 1 + 100 * seeds, passes)
+                    yield pd.DataFrame({"id": [k], "model": [pickle.dumps((net, raw_scores([net], enc, [docs[i] for i in held])))]})
+
+        n = FOLDS * seeds
+        nets, held = [[] for _ in range(FOLDS)], np.zeros(len(y))
+        models = spark.range(0, n, 1, n).mapInPandas(one, "id long, model binary").collect()  # n models of fixed size; a sort in Spark would train them twice
+        for r in sorted(models, key=lambda r: r["id"]):
+            net, z = pickle.loads(r["model"])
+            nets[r["id"] % FOLDS].append(net)
+            held[fold == r["id"] % FOLDS] += z / seeds
+        return nets, held
+
+    keep = np.ones(len(y), bool)
+    for seeds, passes in zip(SEEDS, PASSES, strict=True):
+        nets, held = round_(keep, seeds, passes)
+        limit = np.log(CONTRADICTED / (1 - CONTRADICTED))
+        keep = np.where(y, held > -limit, held < limit)
+        if min((y & keep).sum(), (~y & keep).sum()) < FOLDS:
+            keep = np.ones(len(y), bool)
+    lang = sample["lang"].fillna("").to_numpy(object)
+    slope, intercept, offsets = calibrate(held[keep], y[keep].astype(float), lang[keep])
+    prior = {k: float((y[keep & at].sum() + 1) / ((keep & at).sum() + 2)) for k, at in [("", np.ones(len(y), bool)), *((k, lang == k) for k in offsets)]}
+    return Model(nets, slope, intercept, offsets, prior, held[keep], y[keep])
 
 
 def labelled_documents(docs: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -269,27 +367,58 @@ def labelled_documents(docs: DataFrame, reviews: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", main_language(F.col("lang")).alias("lang")).join(agreed, "doc_id").filter("text IS NOT NULL").dropDuplicates(["doc_id"])
 
 
+def corpus_odds(model: Model, counts: pd.DataFrame) -> tuple[dict[str, float], float]:
+    """By language, what is added to a raw score's calibrated log odds so that they fit the whole corpus, and the probability from which a document is called harmful.
+    counts: lang, bin, n over all documents."""
+    x = (counts["bin"].to_numpy() + 0.5) / BINS * 2 * BOUND - BOUND
+    lang, n = counts["lang"].fillna("").to_numpy(object), counts["n"].to_numpy(float)
+    shift, p = {}, np.zeros(len(x))
+    for k in sorted(set(lang)):
+        at = lang == k
+        odds = model.slope * x[at] + model.intercept + model.offsets.get(k, 0.0)
+        before = model.prior.get(k, model.prior[""])
+        share = before
+        for _ in range(200):
+            q = 1 / (1 + np.exp(-(odds + np.log(share / (1 - share)) - np.log(before / (1 - before)))))
+            share = float(np.clip(((q * n[at]).sum() + 0.05) / (n[at].sum() + 1), 1e-5, 1 - 1e-5))
+        move = np.log(share / (1 - share)) - np.log(before / (1 - before))
+        shift[k] = float(model.offsets.get(k, 0.0) + move)
+        p[at] = 1 / (1 + np.exp(-(odds + move)))
+    order = np.argsort(-p, kind="stable")
+    f1 = 2 * np.cumsum((p * n)[order]) / (np.cumsum(n[order]) + (p * n).sum())
+    return shift, float(p[order][int(f1.argmax())]) if len(p) else 0.5
+
+
 def score_documents(docs: DataFrame, reviews: DataFrame) -> DataFrame:
-    """doc_id, source, lang, score, harmful for every document."""
+    """doc_id, source, lang, score (the probability of harm), harmful for every document."""
     model = fit(labelled_documents(docs, reviews))
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", main_language(F.col("lang")).alias("lang"), F.col("text").cast("string").alias("text"))
+    if model is None:
+        return rows.select("doc_id", "source", "lang", F.lit(None).cast("double").alias("score"), F.lit(None).cast("boolean").alias("harmful"))
+    sent = docs.sparkSession.sparkContext.broadcast(model.nets)  # of fixed size
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = sent.value
-        enc = Encoder()
+        os.environ.setdefault("OMP_NUM_THREADS", "1")
+        nets, enc = sent.value, Encoder()
         for f in frames:
             if len(enc.slots) > 200_000:
                 enc = Encoder()
             out = f[["doc_id", "source", "lang"]].copy()
-            if m is None:
-                out["score"], out["harmful"] = None, None
-            else:
-                out["score"] = scores(m.nets, enc, [enc.encode(t) for t in f["text"]])
-                out["harmful"] = out["score"] >= np.array([m.thresholds.get(x, m.common) for x in f["lang"].fillna("")])
+            raw, fold = np.zeros(len(f)), np.array([fold_of(t) for t in f["text"]], np.int64)
+            for k in range(FOLDS):
+                at = np.flatnonzero(fold == k)
+                if len(at):
+                    raw[at] = raw_scores(nets[k], enc, [enc.encode(t) for t in f["text"].iloc[at]])
+            out["raw"], out["blank"] = raw, [not (t and t.strip()) for t in f["text"]]
             yield out
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", main_language(F.col("lang")).alias("lang"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, source string, lang string, score double, harmful boolean")
+    raw = cut(rows.mapInPandas(run, "doc_id long, source string, lang string, raw double, blank boolean"))
+    bin_ = F.least(F.floor((F.col("raw") + BOUND) / (2 * BOUND) * BINS), F.lit(BINS - 1)).cast("int")
+    counts = raw.filter("NOT blank").groupBy("lang", bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n")).toPandas()  # at most BINS rows a two-letter code
+    shift, threshold = corpus_odds(model, counts)
+    moved = F.coalesce(F.try_element_at(F.create_map(*(F.lit(v) for kv in shift.items() for v in kv)), F.coalesce("lang", F.lit(""))), F.lit(0.0)) if shift else F.lit(0.0)
+    score = F.when(F.col("blank"), 0.0).otherwise(1 / (1 + F.exp(-(F.col("raw") * model.slope + model.intercept + moved))))
+    return raw.withColumn("score", score).select("doc_id", "source", "lang", "score", ((F.col("score") >= threshold) & ~F.col("blank")).alias("harmful"))
 
 
 def rates(scored: DataFrame) -> DataFrame:

@@ -1,10 +1,13 @@
-"""The classifier: undisguised words, gradients, held-out accuracy, odd inputs."""
+"""The classifier: undisguised words, gradients, held-out accuracy, calibration, odd inputs."""
 
 import random
 
 import numpy as np
+import pandas as pd
 
-from ridgeline.llm.harmful import Encoder, Net, fit, labelled_documents, rates, score_documents, scores, tokens, train
+from ridgeline.llm.harmful import (
+    BINS, BOUND, WRONG, Encoder, Model, Net, _stack, calibrate, corpus_odds, fit, labelled_documents, loss_slope, noisy_or, rates, raw_scores, score_documents, sentences, train,
+)
 
 NOUNS = ["river", "tower", "garden", "engine", "teacher", "bridge", "printer"]
 BAD = ["you are a worthless {}", "i will break every bone of the {}", "such people are vermin in the {}"]
@@ -18,26 +21,28 @@ def _doc(rng, bad):
     return ". ".join(parts)
 
 
-def test_tokens():
-    assert tokens("w h o l e s.h.o.u.l.d $l@pp3d choooke a​b You! 12:30 I'm") == ["whole", "should", "slaped", "choke", "ab", "you", "9", "9", "i'm"]
-    assert tokens("stop !") == ["stop", "!"] and tokens(None) == tokens("") == []
+def test_sentences():
+    assert sentences("w h o l e s.h.o.u.l.d $l@pp3d choooke a​b You! 12:30 I'm") == [["whole", "should", "slaped", "choke", "ab", "you"], ["9", "9", "i'm"]]
+    assert sentences("one. two... three? four") == [["one"], ["two"], ["thre", "?"], ["four"]]
+    assert sentences("stop !") == [["stop", "!"]] and sentences(None) == sentences("") == sentences(" . ") == []
 
 
 def test_gradients():
     rng = random.Random(0)
     enc = Encoder()
-    docs = [enc.encode(_doc(rng, k % 2 == 0)) for k in range(6)] + [enc.encode("")]
+    pieces, owner = _stack([enc.encode(_doc(rng, k % 2 == 0)) for k in range(6)] + [enc.encode("No")])
     net, y = Net.new(1), np.array([1, 0, 1, 0, 1, 0, 0], np.float32)
     net.out[:] = np.random.default_rng(0).normal(0, 0.3, len(net.out))
 
     def loss():
-        z, _ = net.forward(enc, docs)
-        return float(np.mean(np.log1p(np.exp(z)) - y * z))
+        p = 1 - np.exp(noisy_or(net.forward(enc, pieces)[0] @ net.out + net.bias, owner, len(y)))
+        q = WRONG + (1 - 2 * WRONG) * p
+        return float(-np.mean(np.where(y > 0, np.log(q), np.log(1 - q))))
 
-    z, kept = net.forward(enc, docs)
-    (used, de), df, do, db = net.grads(kept, ((1 / (1 + np.exp(-z)) - y) / len(y)).astype(np.float32), np.ones_like(kept[0]))
+    p, kept = net.forward(enc, pieces)
+    (used, de), (dw, doff, do, db) = net.grads(p, kept, loss_slope(p @ net.out + net.bias, owner, y), np.ones_like(p))
     word = used[len(used) // 2]
-    for array, at, g in ((net.out, 5, do[5]), (net.bias, 0, db[0]), (net.filters[1][0], (3, 2), df[2][3, 2]), (net.emb, (word, 4), de[len(used) // 2, 4])):
+    for array, at, g in ((net.out, 5, do[5]), (net.bias, 0, db[0]), (net.offset, 30, doff[30]), (net.weights, (3, 50), dw[3, 50]), (net.emb, (word, 4), de[len(used) // 2, 4])):
         kept_value, step = array[at], 2e-3
         array[at] = kept_value + step
         up = loss()
@@ -47,16 +52,50 @@ def test_gradients():
         assert abs((up - down) / (2 * step) - g) < 2e-3 + 0.05 * abs(g)
 
 
+def test_pooling_is_by_piece():
+    rng, net = np.random.default_rng(0), Net.new(2)
+    enc = Encoder()
+    pieces = [x for k in range(30) for x in enc.encode(" ".join(rng.choice(["a", "bc", "def", "ghij"], rng.integers(1, 15))))]
+    together = net.forward(enc, pieces)[0]
+    for k, x in enumerate(pieces):
+        assert np.allclose(net.forward(enc, [x])[0][0], together[k], atol=1e-5)
+
+
 def test_learns_what_it_has_not_seen():
     rng = random.Random(1)
     enc = Encoder()
     y = np.array([k % 3 == 0 for k in range(500)])
     docs = [enc.encode(_doc(rng, b)) for b in y]
-    net = train(enc, docs[:350], y[:350].astype(np.float32), 1)
-    s = scores([net], enc, docs[350:])
-    assert ((s > 0.5) == y[350:]).mean() > 0.95
-    hidden = scores([net], enc, [enc.encode("The tower was open before noon. Y.o.u are a w0rthle$$ teacher"), enc.encode(""), enc.encode(" ".join(["the tower was open"] * 600) + " you are a worthless teacher")])
-    assert hidden[0] > 0.5 and hidden[1] == 0 and hidden[2] > 0.5
+    wrong = y[:350].copy()
+    wrong[::40] = ~wrong[::40]  # a few verdicts are wrong
+    net = train(enc, docs[:350], wrong.astype(np.float32), 1, 10)
+    s = raw_scores([net], enc, docs[350:])
+    assert ((s > 0) == y[350:]).mean() > 0.95
+    hidden = raw_scores([net], enc, [enc.encode("The tower was open before noon. Y.o.u are a w0rthle$$ teacher"), enc.encode(""), enc.encode(" ".join(["the tower was open"] * 600) + ". you are a worthless teacher")])
+    assert hidden[0] > 0 and hidden[1] == -BOUND and hidden[2] > 0
+
+
+def test_calibration_and_the_share_of_the_corpus():
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 3, 4000)
+    lang = np.where(rng.random(4000) < 0.02, "fr", "en").astype(object)
+    y = rng.random(4000) < 1 / (1 + np.exp(-(0.8 * x - 1 + np.where(lang == "fr", 0.5, 0))))
+    slope, intercept, offsets = calibrate(x, y.astype(float), lang)
+    assert abs(slope - 0.8) < 0.08 and abs(intercept + offsets["en"] + 1) < 0.15 and abs(offsets["fr"]) < 1
+    # a corpus in which harm is ten times rarer than among the reviewed
+    true = rng.random(200_000) < 0.03
+    z = np.where(true, rng.normal(4, 2, len(true)), rng.normal(-4, 2, len(true)))
+    held = np.r_[rng.normal(4, 2, 600), rng.normal(-4, 2, 1400)]
+    mark = np.r_[np.ones(600, bool), np.zeros(1400, bool)]
+    slope, intercept, offsets = calibrate(held, mark.astype(float), np.full(2000, "en", object))
+    model = Model([], slope, intercept, offsets, {"": 0.3, "en": 0.3}, held, mark)
+    b = np.clip(((z + BOUND) / (2 * BOUND) * BINS).astype(int), 0, BINS - 1)
+    counts = pd.DataFrame({"lang": "en", "bin": np.arange(BINS), "n": np.bincount(b, minlength=BINS)})
+    shift, cut = corpus_odds(model, counts[counts["n"] > 0])
+    p = 1 / (1 + np.exp(-(slope * z + intercept + shift["en"])))
+    assert abs(p.mean() - 0.03) < 0.004
+    f1 = lambda c: 2 * (true & (p >= c)).sum() / ((p >= c).sum() + true.sum())
+    assert f1(cut) > max(f1(c) for c in np.linspace(0.05, 0.95, 19)) - 0.01
 
 
 def test_tables(spark):

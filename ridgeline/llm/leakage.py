@@ -9,9 +9,13 @@ a word changed, missing or added costs as much as a word found brings.
 
 Shingles have SHINGLE = 3 words, not five: single words of a leaked stretch may be changed, and two changes in a stretch of 14 words leave no run of five.
 
+What a window must hold follows from the item's length: the shingles left of two fifths of its words when one word in six is changed, HELD at most. Where that
+is so little that no number of agreeing positions finds it at MISS (items below some twenty words), the item's shingles are looked up one by one instead,
+which misses nothing. An item of fewer than SHORT words has to be there whole and word for word, as two fifths of it are a few words that prove nothing; one
+without a single shingle (one or two words) matches nothing.
+
 The items are a stated query set: they go to the workers in blocks of BLOCK texts (of bounded size), each block in one pass over the corpus, so neither side
-is shuffled and a group of copies among the documents is no hot spot. NULL and empty texts hold nothing; an item with fewer than MIN_WORDS words is too
-short to be told from common wording and matches nothing. Repeated documents are each reported; a repeated item is reported once per id. Very long texts
+is shuffled and a group of copies among the documents is no hot spot. NULL and empty texts hold nothing. Repeated documents are each reported; a repeated item is reported once per id. Very long texts
 are taken window by window. Columns other than the named ones are not read.
 """
 
@@ -28,11 +32,11 @@ from pyspark.sql import functions as F
 from ridgeline.llm.text import words
 
 SHINGLE, WINDOW, HASHES = 3, 48, 128
-#: Containment of an item's shingles that the search is set to, what may be missed at it, and the item shingles that a window must really hold.
+#: Containment of an item's shingles that the search is set to, what may be missed at it, and the most item shingles that a window is asked to hold.
 SOUGHT, MISS, HELD = 0.2, 1e-3, 4
 #: Share of the item's words in one stretch, and the share left after what was changed, missing or added is taken off.
 SHARE, NET = 0.4, 0.36
-MIN_WORDS, BLOCK, ALIGN = 8, 20_000, 512
+SHORT, BLOCK, ALIGN = 8, 20_000, 512
 
 _rng = np.random.default_rng(20)
 _A = (_rng.integers(1, 1 << 62, HASHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -70,10 +74,22 @@ def _position(s: np.ndarray, j: int) -> np.ndarray:
         return v ^ (v >> np.uint64(32))
 
 
-def least_collisions(size: int, item_size: int) -> int:
-    """Signature positions that must agree for a window of at most `size` shingles and an item of `item_size`."""
-    held = min(max(SOUGHT * item_size, HELD), size, item_size)
-    expected = HASHES * held / (size + item_size - held)
+def left_over(n_words: int) -> int:
+    """Shingles that two fifths of an item of n_words words keep when one word in six of them is changed; all of its shingles below SHORT words."""
+    if n_words < SHORT:
+        return max(0, n_words - SHINGLE + 1)
+    m = int(np.ceil(SHARE * n_words))
+    return max(1, m - SHINGLE + 1 - SHINGLE * (m // 6))
+
+
+def expected_collisions(size: int, item_size: int, n_words: int) -> float:
+    """Signature positions that agree on average for a window of at most `size` shingles that holds what is sought of an item."""
+    held = min(max(SOUGHT * item_size, HELD), left_over(n_words), size, item_size)
+    return HASHES * held / (size + item_size - held)
+
+
+def least_collisions(expected: float) -> int:
+    """Signature positions that must agree such that fewer are seen with a probability below MISS."""
     tail, term, c = 0.0, float(np.exp(-expected)), 0
     while tail + term < MISS:
         tail, c = tail + term, c + 1
@@ -110,12 +126,21 @@ class Index:
 
     def __init__(self, ids: list[int], sides: list[str], texts: list[str]):
         known: dict[str, int] = {}
-        rows = [(i, s, h) for i, s, h in ((i, s, word_hashes(words(t), known)) for i, s, t in zip(ids, sides, texts, strict=True)) if len(h) >= MIN_WORDS]
+        rows = [(i, s, h) for i, s, h in ((i, s, word_hashes(words(t), known)) for i, s, t in zip(ids, sides, texts, strict=True)) if len(h) >= SHINGLE]
         self.ids, self.sides, self.words = [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]
         self.sets = [np.unique(shingles(h)) for h in self.words]
         self.sizes = np.array([len(s) for s in self.sets], np.int64)
         self.universe = np.unique(np.concatenate(self.sets)) if self.sets else np.zeros(0, np.uint64)
         self.pairs = np.concatenate([np.searchsorted(self.universe, u) + i * len(self.universe) for i, u in enumerate(self.sets)]) if self.sets else np.zeros(0, np.int64)
+        self.lengths = np.array([len(h) for h in self.words], np.int64)
+        self.need = np.minimum(HELD, [left_over(int(n)) for n in self.lengths]).astype(np.int64)
+        self.need = np.where(self.lengths < SHORT, self.sizes, self.need)  # shingles that a window must hold
+        # items that collisions cannot be relied on for: their shingles, in order, with the item of each
+        self.listed = np.array([np.exp(-expected_collisions(WINDOW, int(m), int(n))) > MISS for m, n in zip(self.sizes, self.lengths, strict=True)], bool)
+        few = np.flatnonzero(self.listed)
+        key = np.concatenate([self.sets[i] for i in few]) if len(few) else np.zeros(0, np.uint64)
+        order = np.argsort(key, kind="stable")
+        self.posted, self.of = key[order], np.repeat(few, self.sizes[few])[order]
         self.order, self.minima = [], []
         for j in range(HASHES if rows else 0):
             least = np.array([_position(s, j).min() for s in self.sets])
@@ -136,18 +161,35 @@ class Index:
                 c = count[w]
                 at = np.repeat(lo[w] - np.cumsum(c) + c, c) + np.arange(c.sum())
                 hits.append(np.repeat(w, c) * n + self.order[j][at])
+        lw, li = self._looked_up(s, starts, second)
         if not hits:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return lw, li
         pair, agree = np.unique(np.concatenate(hits), return_counts=True)
+        pair, agree = pair[~self.listed[pair % n]], agree[~self.listed[pair % n]]
         w, item = pair // n, pair % n
         length = np.diff(np.append(starts, len(s)))
         size = length[w] + np.where(second[w] != w, length[second[w]], 0)
         size = np.minimum(WINDOW, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))  # the upper bound of the size class
-        need = self._need(size, self.sizes[item])
-        return w[agree >= need], item[agree >= need]
+        need = self._need(size, item)
+        return np.concatenate([w[agree >= need], lw]), np.concatenate([item[agree >= need], li])
+
+    def _looked_up(self, s: np.ndarray, starts: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (window, item) that share a shingle, of the listed items."""
+        if not len(self.posted):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        lo, hi = np.searchsorted(self.posted, s, "left"), np.searchsorted(self.posted, s, "right")
+        hit = np.flatnonzero(hi > lo)
+        n = (hi - lo)[hit]
+        at = np.repeat(lo[hit] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        half = np.searchsorted(starts, np.repeat(hit, n), "right") - 1
+        # a window is a half and the one that follows in the same document
+        before = half - 1
+        joined = (before >= 0) & (second[np.maximum(before, 0)] == half)
+        pair = np.unique(np.concatenate([half * len(self.sets) + self.of[at], before[joined] * len(self.sets) + self.of[at][joined]]))
+        return pair // len(self.sets), pair % len(self.sets)
 
     def held(self, s: np.ndarray, lo: np.ndarray, hi: np.ndarray, w: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Those pairs whose window really holds at least HELD shingles of the item (all, if it has fewer)."""
+        """Those pairs whose window really holds the shingles that the item needs."""
         at = np.minimum(np.searchsorted(self.universe, s), len(self.universe) - 1)
         at[self.universe[at] != s] = -1
         keep = np.zeros(len(w), bool)
@@ -157,12 +199,13 @@ class Index:
             u = at[lo[a : a + 20_000][k] + np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)]
             key = item[a : a + 20_000][k] * len(self.universe) + u
             found = self.pairs[np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)] == key
-            keep[a : a + 20_000] = np.bincount(k[found & (u >= 0)], minlength=len(n)) >= np.minimum(HELD, self.sizes[item[a : a + 20_000]])
+            keep[a : a + 20_000] = np.bincount(k[found & (u >= 0)], minlength=len(n)) >= self.need[item[a : a + 20_000]]
         return w[keep], item[keep]
 
-    def _need(self, size: np.ndarray, item_size: np.ndarray) -> np.ndarray:
-        pair, back = np.unique(size * (1 << 32) + item_size, return_inverse=True)
-        return np.array([least_collisions(int(p >> 32), int(p & 0xFFFFFFFF)) for p in pair], np.int64)[back]
+    def _need(self, size: np.ndarray, item: np.ndarray) -> np.ndarray:
+        of = np.stack([size, self.sizes[item], self.lengths[item]], 1)
+        kind, back = np.unique(of, axis=0, return_inverse=True)
+        return np.array([least_collisions(expected_collisions(*map(int, k))) for k in kind], np.int64)[back.ravel()]
 
 
 def _search(index: Index, docs: list[np.ndarray]) -> Iterator[tuple[int, int, int, float, float]]:
@@ -200,7 +243,7 @@ def _search(index: Index, docs: list[np.ndarray]) -> Iterator[tuple[int, int, in
         score, found = align(x, y)
         for (a, i), sc, f in zip(part, score.tolist(), found.tolist(), strict=True):
             size = len(index.words[i])
-            if f >= SHARE * size and sc >= NET * size:
+            if f >= SHARE * size and sc >= NET * size and (size >= SHORT or sc == size):
                 key = (int(owner[a]), i)
                 best[key] = max(best.get(key, (0, 0.0, 0.0)), (f, f / size, sc / size))
     for (d, i), v in best.items():

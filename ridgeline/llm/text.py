@@ -6,7 +6,7 @@ import html
 import re
 import unicodedata
 
-_TAG = re.compile(r"<[^<>]{0,400}>")
+_TAG = re.compile(r"<[^<>]*>")
 _BROKEN = re.compile(r"(?<=\w)[-­‐]\s*\n\s*(?=\w)")
 _WORD = re.compile(r"[^\W_]+")
 _ASCII = re.compile(r"[^\x00-\x7f]")

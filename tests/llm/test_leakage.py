@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from ridgeline.llm.leakage import Index, _search, align, find_leaks, least_collisions, shingles, word_hashes
+from ridgeline.llm.leakage import SHORT, Index, _search, align, expected_collisions, find_leaks, least_collisions, left_over, shingles, word_hashes
 from ridgeline.llm.text import words
 
 VOCAB = [f"w{k}" for k in range(900)]
@@ -57,7 +57,7 @@ def test_search_finds_what_alignment_finds():
             text[at:at] = _leak(rng, items[i], rng.choice([0.25, 0.5, 0.7, 1.0]))
         docs.append(text)
         for i, item in enumerate(items):
-            score, found = _plain(item, text)
+            score, found = _plain(item, text) if sum(w in text for w in item) >= 0.4 * len(item) else (0, 0)
             if found >= 0.4 * len(item) and score >= 0.36 * len(item):
                 want.add((d, i))
     index, known = Index(list(range(40)), [""] * 40, [" ".join(i) for i in items]), {}
@@ -65,8 +65,36 @@ def test_search_finds_what_alignment_finds():
     assert len(want) > 50 and got == want
 
 
+def test_short_items():
+    """Items of 3 to 25 words: whole and word for word below SHORT, else two fifths of the words with no more than one in six changed."""
+    rng = random.Random(11)
+    items = [[rng.choice(VOCAB) for _ in range(n)] for n in range(1, 26) for _ in range(2)]
+    docs, want = [], set()
+    for i, item in enumerate(items):
+        for share in (0.2, 0.5, 0.8, 1.0):
+            n = int(len(item) * share)
+            at = rng.randint(0, len(item) - n)
+            leak = item[at : at + n]
+            if share < 1 and n >= 8:
+                leak[rng.randrange(3, n - 3)] = "changed"
+            text = [rng.choice(VOCAB) for _ in range(rng.randint(0, 80))]
+            k = rng.randint(0, len(text))
+            docs.append(text[:k] + leak + text[k:])
+    for d, text in enumerate(docs):
+        for i, item in enumerate(items):
+            score, found = _plain(item, text) if len(set(item) & set(text)) * 3 > len(item) else (0, 0)
+            n = len(item)
+            if n >= 3 and (score == n if n < SHORT else found >= 0.4 * n and score >= 0.36 * n):
+                want.add((d, i))
+    index, known = Index(list(range(len(items))), [""] * len(items), [" ".join(i) for i in items]), {}
+    got = {(d, index.ids[i]) for d, i, *_ in _search(index, [word_hashes(t, known) for t in docs])}
+    assert len(want) > 100 and {len(items[i]) for _, i in want} == set(range(3, 26)) and got == want
+
+
 def test_threshold_grows_with_containment():
-    assert least_collisions(24, 30) >= least_collisions(48, 30) >= 1 and least_collisions(3, 30) >= 1
+    need = lambda size, item: least_collisions(expected_collisions(size, item - 2, item))
+    assert need(24, 30) >= need(48, 30) >= 1 and need(3, 30) >= 1
+    assert [left_over(n) for n in (2, 3, 7, 8, 12, 15, 26, 53)] == [0, 1, 5, 2, 3, 1, 6, 11]
     assert len(shingles(word_hashes(["a", "b"], {}))) == 0
 
 

@@ -80,8 +80,13 @@ def p2_heights(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Records whose height is not in the unit its field is meant for."""
-    return heights(spark, folder).filter("unit <> meant_unit").select("table_name", "rec_id", "unit")
+    """Records whose height is, by a stated or a confident unit, not in the unit its field is meant for."""
+    return heights(spark, folder).filter("unit <> meant_unit AND status <> 'review'").select("table_name", "rec_id", "unit")
+
+
+def p2_review(spark: SparkSession, folder: str) -> DataFrame:
+    """Records whose unit is not sure enough to convert them, with the likeliest unit."""
+    return heights(spark, folder).filter("status = 'review'").select("table_name", "rec_id", "value", "unit", "probability")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -174,7 +179,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return rejected_lines(load_lines(table(spark, folder, "kirmse_raw"))).select("line_id", "reason")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_heights": p2_heights, "p3_found": p3_found, "p4_found": p4_found, "p4_links": p4_links, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_heights": p2_heights, "p2_review": p2_review, "p3_found": p3_found, "p4_found": p4_found, "p4_links": p4_links, "p5_found": p5_found}
 SQL: dict[str, str] = {
     "p3_found": """
 WITH a AS (SELECT DISTINCT peak_id, radians(lon) * 6378137.0 AS x, 6378137.0 * ln(tan(pi() / 4 + radians(lat) / 2)) AS y FROM peaks_corridor WHERE lat IS NOT NULL AND lon IS NOT NULL),

@@ -40,6 +40,23 @@ def test_unclosed_quotes_take_nothing_with_them(tmp_path):
     assert [r["reason"] for r in _run(lines, tmp_path)] == [CASES[x] for x in lines]
 
 
+def test_reasons_come_from_the_reject_tables(tmp_path, monkeypatch):
+    """Without the exact check, lines that DuckDB rejects keep their reason; it would be lost if the reject tables were not read."""
+    import ridgeline.operators.line_rejects as module
+
+    monkeypatch.setattr(module, "judge", lambda line: ("unsettled", None, None))
+    want = {
+        "1,2,3,4,5": "columns", "1,2,3,4,5,6,7,8": "columns", "1,2,x,4,5,6": "value", "1,,3,4,5,6": "value", "1,2,3,4,5,six,remark": "value", '1,2"2,3,4,5,6': "quoting", '"1,2,3,4,5,6': "quoting",
+        "90.01,2,3,4,5,6": "range", "1,2,30001,4,5,6,remark": "range", "1,2,3,4,5,6": None, "1,2,3,4,5,6,remark": None, '1,2,3,4,5,6,"a, b"': "unsettled", "inf,2,3,4,5,6": "unsettled",
+    }
+    got = {line: r for line, r in zip(want, _run(list(want), tmp_path), strict=True)}
+    assert {k: r["reason"] for k, r in got.items()} == want
+    assert all((r["settled_by"] == "exact") == (r["reason"] == "unsettled") for r in got.values())
+    assert all(r["reader_error"] for r in got.values() if r["reason"] in ("columns", "value", "quoting"))
+    monkeypatch.setattr(module, "_read", lambda con, paths, n: con.execute("CREATE OR REPLACE TEMP TABLE good AS SELECT 0::BIGINT n, * FROM rows LIMIT 0; CREATE OR REPLACE TEMP TABLE errors AS SELECT * FROM wrong LIMIT 0"))
+    assert {r["reason"] for r in _run(list(want), tmp_path)} == {"unsettled"}
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet='1.,"- \tx+e\r', max_size=24), min_size=1, max_size=6))
 def test_any_lines(tmp_path_factory, lines):

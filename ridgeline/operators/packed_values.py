@@ -7,7 +7,8 @@ which Spark adds up. Viterbi then takes the likeliest split. Values that stand a
 inside is unlikely until the column shows otherwise.
 
 Counts are kept under hashes into SLOTS slots, so what the driver sees and sends is bounded whatever the column holds. A frequent text is counted once
-with its weight. Per text, time and memory are linear in its length times MAX_ATOMS.
+with its weight. Per text, time and memory are linear in its length times MAX_ATOMS: a value may be of any length, but one of more than MAX_ATOMS stretches is
+weighed by the separators inside it alone, not by its own count, which a second row of the lattice does in linear time (the whole text is always weighed by its count).
 
 NULL texts give no row; empty ones, and such of separators and white space only, none either. `pos` counts the non-empty values from 1. Equal texts are
 split alike; ties go to the split with more values. A quote that is never closed is taken as a letter. Only the named columns are read.
@@ -28,8 +29,10 @@ from pyspark.sql import functions as F
 
 SLOTS = 1 << 16
 ROUNDS, SETTLED = 6, 1e-4
-#: Atoms that one value may span; a longer one is cut at its separators.
+#: Stretches up to which a value is weighed by its count; a longer one is weighed by the separators inside it.
 MAX_ATOMS = 24
+#: Bytes of distinct texts that a task counts in one round.
+TASK_BYTES = 4 << 20
 #: Prior odds that a possible separator inside a value is part of it, the weight of the prior, and of shape against value.
 INSIDE, PRIOR, SHAPE = 1e-3, 5.0, 0.5
 
@@ -115,14 +118,15 @@ class Model:
     def value(self, text: str, inside: int) -> float:
         """Log probability of a value with so many possible separators inside."""
         v, s = _slots(text)
-        base = PRIOR / SLOTS * INSIDE**inside
-        return math.log(((1 - SHAPE) * self.values[v] + SHAPE * self.shapes[s] + base) / self.total)
+        base = math.log(PRIOR / SLOTS) + inside * math.log(INSIDE)
+        counted = (1 - SHAPE) * self.values[v] + SHAPE * self.shapes[s]
+        return (_log_add(math.log(counted), base) if counted > 0 else base) - math.log(self.total)
 
     def edges(self, text: str) -> tuple[int, list[tuple[int, int, float, str]], list[int]]:
         """The lattice of a text: (number of stretches, (from, to, log weight, value), kinds of its marks). Empty stretches weigh nothing."""
         parts, marks = atoms(text)
         kinds = [kind_of(m) for m in marks]
-        out = []
+        out, body = [], "".join(p + m for p, m in zip(parts, [*marks, ""], strict=True))
         for i in range(len(parts)):
             joined, keep = parts[i], 0.0
             for j in range(i + 1, min(len(parts), i + MAX_ATOMS) + 1):
@@ -136,29 +140,70 @@ class Model:
                 if j < len(parts):
                     w += math.log(self.part[kinds[j - 1]])
                 out.append((i, j, w, joined))
+            if i == 0 and len(parts) > MAX_ATOMS and body.strip():  # the whole text as one value
+                out.append((0, len(parts), sum(math.log(1 - self.part[k]) for k in kinds) + self.value(clean(body), len(marks)), body))
         return len(parts), out, kinds
 
+    def long_values(self, n: int, kinds: list[int]) -> tuple[list[float], list[float], list[float]]:
+        """Log weights of values of more than MAX_ATOMS stretches: to have taken in the first MAX_ATOMS + 1 from a place, to take in the stretch that ends at a place, to end there."""
+        keep = [math.log(1 - self.part[k]) + math.log(INSIDE) for k in kinds]
+        base = math.log(PRIOR / SLOTS / self.total)
+        run = np.concatenate([[0.0], np.cumsum(keep)])
+        start = [base + float(run[i + MAX_ATOMS] - run[i]) for i in range(n - MAX_ATOMS)]
+        return start, [0.0, 0.0, *keep], [0.0, *(math.log(self.part[k]) for k in kinds), 0.0]
+
     def split(self, text: str) -> list[str]:
         """Viterbi: the values of the likeliest split, without empty ones."""
-        n, edges, _ = self.edges(text)
-        best, back = [0.0] + [-math.inf] * n, [None] * (n + 1)
-        for i, j, w, joined in edges:  # by from, then to; among equals the shortest last value wins
-            if best[i] + w >= best[j]:
-                best[j], back[j] = best[i] + w, (i, joined)
+        n, edges, kinds = self.edges(text)
+        best, back = [0.0] + [-math.inf] * n, [(0, "")] * (n + 1)
+        start, on, end = self.long_values(n, kinds) if n > MAX_ATOMS else ([], [], [])
+        inside, since, e = -math.inf, 0, 0
+        for j in range(n + 1):
+            if j > MAX_ATOMS:  # the likeliest long value that reaches this place
+                inside += on[j]
+                if best[j - MAX_ATOMS - 1] + start[j - MAX_ATOMS - 1] > inside:
+                    inside, since = best[j - MAX_ATOMS - 1] + start[j - MAX_ATOMS - 1], j - MAX_ATOMS - 1
+                if inside + end[j] > best[j]:
+                    best[j], back[j] = inside + end[j], (since, None)
+            while e < len(edges) and edges[e][0] == j:  # by from, then to; among equals the shortest last value wins
+                _, to, w, joined = edges[e]
+                if best[j] + w >= best[to]:
+                    best[to], back[to] = best[j] + w, (j, joined)
+                e += 1
         out, at = [], n
+        parts, marks = atoms(text) if n > MAX_ATOMS else ([], [])
         while at:
-            at, joined = back[at]
-            out.append(clean(joined))
+            to, (at, joined) = at, back[at]
+            out.append(clean(parts[at] + "".join(m + p for m, p in zip(marks[at : to - 1], parts[at + 1 : to], strict=True)) if joined is None else joined))
         return [v for v in reversed(out) if v]
 
     def expect(self, text: str, weight: float, values, shapes, parts, seen) -> None:
         """Add a text's expected counts."""
         n, edges, kinds = self.edges(text)
         fore, aft = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
-        for i, j, w, _ in edges:
-            fore[j] = _log_add(fore[j], fore[i] + w)
-        for i, j, w, _ in reversed(edges):
-            aft[i] = _log_add(aft[i], aft[j] + w)
+        start, on, end = self.long_values(n, kinds) if n > MAX_ATOMS else ([], [], [])
+        late, ahead = [-math.inf] * (n + 1), [-math.inf] * (n + 2)  # within a long value at a place: from the left, from the right
+        e = 0
+        for j in range(n + 1):
+            if j > MAX_ATOMS:
+                late[j] = _log_add(late[j - 1] + on[j], fore[j - MAX_ATOMS - 1] + start[j - MAX_ATOMS - 1])
+                fore[j] = _log_add(fore[j], late[j] + end[j])
+            while e < len(edges) and edges[e][0] == j:
+                _, to, w, _ = edges[e]
+                fore[to] = _log_add(fore[to], fore[j] + w)
+                e += 1
+        e = len(edges) - 1
+        for i in range(n, -1, -1):
+            while e >= 0 and edges[e][0] == i:
+                _, to, w, _ = edges[e]
+                aft[i] = _log_add(aft[i], aft[to] + w)
+                e -= 1
+            if i + MAX_ATOMS < n:
+                aft[i] = _log_add(aft[i], ahead[i + MAX_ATOMS + 1] + start[i])
+            if i > MAX_ATOMS:
+                ahead[i] = _log_add(end[i] + aft[i], ahead[i + 1] + (on[i + 1] if i < n else 0.0))
+                if i < n:
+                    parts[kinds[i - 1]] += weight * math.exp(late[i] + end[i] + aft[i] - fore[n])
         for k in kinds:
             seen[k] += weight
         for i, j, w, joined in edges:
@@ -204,9 +249,11 @@ def fit(df: DataFrame, text: str) -> Model:
     """Learn value frequencies and separators from the whole column."""
     rows = df.select(df[text].cast("string").alias("text")).filter("text IS NOT NULL").groupBy("text").agg(F.count(F.lit(1)).alias("weight")).persist()
     try:
-        model = _counts(rows, None)
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        rows_ = rows.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES))  # a round is a pass over what is held
+        model = _counts(rows_, None)
         for _ in range(ROUNDS):
-            last, model = model, _counts(rows, model)
+            last, model = model, _counts(rows_, model)
             if np.abs(last.part - model.part).max() < SETTLED:
                 break
     finally:

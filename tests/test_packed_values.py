@@ -50,3 +50,50 @@ def test_long_text_and_repeats(spark):
 def test_atoms_and_clean():
     assert atoms("[a];[b]") == (["[a]", "[b]"], [";"]) and atoms("(a; b)") == (["a", " b"], [";"]) and clean("(a) (b)") == "(a) (b)"
     assert atoms('"a;b";c') == (['"a;b"', "c"], [";"]) and clean(' "a ""b""" ') == 'a "b"' and clean("[x]") == "x" and clean("O'Neil'") == "O'Neil'"
+
+
+def test_long_values_against_every_split(spark, monkeypatch):
+    """Values of more than MAX_ATOMS stretches: Viterbi and expected counts against all segmentations."""
+    import math
+    from itertools import combinations
+
+    import numpy as np
+
+    import ridgeline.operators.packed_values as P
+
+    monkeypatch.setattr(P, "MAX_ATOMS", 2)
+    monkeypatch.setattr(P, "INSIDE", 0.3)
+    rng = np.random.default_rng(3)
+    for text in ("a;b,c;d;e", "x,y,z", "a / b;c;d,e,f;g", "a;b", "q"):
+        model = P.Model(rng.random(P.SLOTS), rng.random(P.SLOTS), rng.random(len(P.KINDS)) * 5, np.full(len(P.KINDS), 6.0))
+        parts, marks = P.atoms(text)
+        n, kinds = len(parts), [P.kind_of(m) for m in marks]
+        ways = []
+        for k in range(n):
+            for cuts in combinations(range(1, n), k):
+                at, w, items = [0, *cuts, n], 0.0, []
+                for i, j in zip(at[:-1], at[1:], strict=True):
+                    joined = parts[i] + "".join(marks[q] + parts[q + 1] for q in range(i, j - 1))
+                    own = model.value(P.clean(joined), j - i - 1) if j - i <= 2 else math.log(P.PRIOR / P.SLOTS / model.total) + (j - i - 1) * math.log(0.3)
+                    w += own + sum(math.log(1 - model.part[kinds[q]]) for q in range(i, j - 1)) + (math.log(model.part[kinds[j - 1]]) if j < n else 0)
+                    items.append(P.clean(joined))
+                ways.append((w, items, cuts))
+        if n > 2:  # the whole is weighed by its count and, as any long value, without it
+            ways.append((sum(math.log(1 - model.part[q]) for q in kinds) + model.value(P.clean(text), n - 1), [P.clean(text)], ()))
+        assert model.split(text) == max(ways)[1]
+        total = sum(math.exp(w) for w, _, _ in ways)
+        want = np.zeros(len(P.KINDS))
+        for w, _, cuts in ways:
+            for c in cuts:
+                want[kinds[c - 1]] += math.exp(w) / total
+        got = [np.zeros(P.SLOTS), np.zeros(P.SLOTS), np.zeros(len(P.KINDS)), np.zeros(len(P.KINDS))]
+        model.expect(text, 1.0, *got)
+        assert np.allclose(got[2], want)
+
+
+def test_a_value_of_any_length_stays_whole(spark):
+    rng = random.Random(5)
+    note = ", ".join("".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(60))
+    df = _column(spark, [note])
+    model = fit(df, "ref")
+    assert model.split(note) == [note] and model.split(note + ";US 1") == [note, "US 1"]

@@ -14,7 +14,7 @@ from ridgeline.functions.geodesic import inverse
 from ridgeline.functions.text import peak_label
 from ridgeline.operators.ascent import classify_by_ascent, classify_by_ceiling
 from ridgeline.operators.drainage import catchment, classify_by_drainage, drains_to
-from ridgeline.operators.profile import CANDIDATES, analyze, barrier_in, barrier_of_series, classify_by_profile, profile_of, segments_of, shorten, stations
+from ridgeline.operators.profile import CANDIDATES, analyze, barrier_of_series, classify_by_profile, profiles, sample_cells, segments_of, shorten, stations
 from ridgeline.operators.raster import mosaic, snap_summits
 from ridgeline.operators.report import class_counts, cross_check, prominence_bands
 from ridgeline.plans import terrain
@@ -39,20 +39,40 @@ def test_barriers(spark):
     assert [(r["blocked"], r["lo"], r["barrier"]) for r in barrier_of_series(long, "k", ["i"], "v").orderBy("k").collect()] == [w for _, w in PROFILES]
 
 
-def test_barriers_of_arrays():
-    assert [barrier_in(np.array([np.nan if v is None else v for v in z], float), 76.2) for z, _ in PROFILES] == [w for _, w in PROFILES]
+def _plain_profile(z, hx, hy, sx, sy):
+    """The samples of one line over an array, with plain loops; the raster's corner is (0, 0), its cells are of side 1."""
+    n = max(2, int(np.hypot(sx - hx, sy - hy)) + 1)
+    out = []
+    for i in range(n):
+        c, r = (sx, -sy) if i == n - 1 else (hx + i * ((sx - hx) / (n - 1)), -hy + i * ((hy - sy) / (n - 1)))
+        v = z[min(max(int(r), 0), z.shape[0] - 1)][min(max(int(c), 0), z.shape[1] - 1)]
+        out.append(None if np.isnan(v) else float(v))
+    return out
 
 
-def test_both_ways_of_profiling_agree(spark, monkeypatch):
+def _plain_blocked(profile, tolerance):
+    known = [v for v in profile if v is not None]
+    if len(known) < 2:
+        return True
+    after = [v for v in profile[profile.index(min(known)) :] if v is not None]
+    return any(max(after[: k + 1]) - v >= tolerance for k, v in enumerate(after))
+
+
+@pytest.mark.parametrize("size,chunk", [(7, 3), (256, 20_000)])
+def test_profiles_by_block(spark, monkeypatch, size, chunk):
+    """Profiles put together from blocks are those of plain loops and of a join per sample, whatever the block, and lines may leave the raster."""
+    monkeypatch.setattr("ridgeline.operators.profile.SAMPLES", 50)
     rng = np.random.default_rng(9)
-    cells, grid = cells_of_array(spark, np.where(rng.random((40, 30)) < 0.05, np.nan, rng.integers(0, 300, (40, 30)).astype(float)))
-    at = lambda n, k: spark.createDataFrame([(i, float(rng.uniform(0, 30)), -float(rng.uniform(0, 40))) for i in range(n)], f"{k} long, x double, y double")
-    peaks, cand = at(25, "peak_id"), at(12, "cand_id")
-    got = []
-    for held in (0, 10_000):
-        monkeypatch.setattr("ridgeline.operators.profile.HELD_CELLS", held)
-        got.append(sorted(map(str, classify_by_profile(peaks, cells, cand, grid, 120.0, 5).collect())))
-    assert got[0] == got[1] and len(got[0]) == 25
+    z = np.where(rng.random((40, 30)) < 0.05, np.nan, rng.integers(0, 300, (40, 30)).astype(float))
+    cells, grid = cells_of_array(spark, z)
+    ends = [(k % 9, k, float(rng.uniform(-3, 33)), -float(rng.uniform(-3, 43)), float(rng.uniform(0, 30)), -float(rng.uniform(0, 40))) for k in range(60)] + [(3, 99, 5.5, -5.5, 5.5, -5.5)]
+    pairs = spark.createDataFrame(ends, "peak_id long, rank int, hx double, hy double, sx double, sy double")
+    got = {r["rank"]: list(r["z"]) for r in profiles(pairs, cells, grid, size, chunk).collect()}
+    assert got == {k: _plain_profile(z, *e) for _, k, *e in ends}
+    joined = sample_cells(pairs, grid).join(cells.select("cell", "elev"), "cell", "left").groupBy("rank").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "elev"))), lambda s: s["elev"]).alias("z"))
+    assert got == {r["rank"]: list(r["z"]) for r in joined.collect()}
+    assert profiles(pairs.limit(0), cells, grid, size).count() == 0
+    assert all(v is None for v in profiles(pairs.limit(1), cells.limit(0), grid, size).first()["z"])
 
 
 def test_shorten(spark):
@@ -94,16 +114,15 @@ def test_drainage_worked_case(spark):
         assert {r["cell"] for r in got.filter("catch").collect()} == {7, 8, 13} and got.count() == 25
 
 
-@pytest.mark.parametrize("held", [0, 10_000])
-def test_profile_classifier(spark, monkeypatch, held):
-    monkeypatch.setattr("ridgeline.operators.profile.HELD_CELLS", held)
+@pytest.mark.parametrize("size", [3, 256])
+def test_profile_classifier(spark, size):
     ridge, open_ = "10 10 200 10 10 10 10 10", "10 10 10 10 10 10 10 10"
     cells, grid = cells_of(spark, "\n".join([ridge, ridge[:-2] + "150", ridge, ridge, open_, open_, open_, open_]))
     cand = spark.createDataFrame([(1, 0.5, -1.5), (2, 0.5, -7.5)], "cand_id long, x double, y double")
     peaks = spark.createDataFrame([(7, 7.5, -1.5)], "peak_id long, x double, y double")
-    both = classify_by_profile(peaks, cells, cand, grid, 76.2, 30).first()
+    both = classify_by_profile(peaks, cells, cand, grid, 76.2, 30, size).first()
     assert both["frontrow"] and not both["blk"] and both["bar"] == -1 and both["z"][0] == 10 and both["z"][-1] == 150 and len(both["z"]) == 10
-    one = classify_by_profile(peaks, cells, cand, grid, 76.2, 1).first()  # the nearest station only
+    one = classify_by_profile(peaks, cells, cand, grid, 76.2, 1, size).first()  # the nearest station only
     assert not one["frontrow"] and one["blk"] and one["bar"] > one["lo"] and one["z"] == [10, 10, 200, 10, 10, 10, 10, 150]
 
 
@@ -123,7 +142,7 @@ def test_profile_query_tries_all_candidates(spark, tmp_path):
     for k, (row, col) in snapped.items():
         px, py = k * 13 % 64 + 0.5, -(k * 7 % 120 + 0.5)
         near = sorted(at, key=lambda s: (np.hypot(s[1] - px, s[2] - py), s[0]))
-        clear = [not barrier_in(profile_of(z, grid, x, y, col + 0.5, -(row + 0.5)), terrain.ASCENT)[0] for _, x, y in near[:CANDIDATES]]
+        clear = [not _plain_blocked(_plain_profile(z, x, y, col + 0.5, -(row + 0.5)), terrain.ASCENT) for _, x, y in near[:CANDIDATES]]
         for n, d in want.items():
             d[k] = any(clear[:n])
     assert CANDIDATES == 30 <= len(at) and want[8] != want[30] and got == want[30]

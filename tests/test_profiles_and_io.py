@@ -14,7 +14,7 @@ from ridgeline.functions.geodesic import inverse
 from ridgeline.functions.text import peak_label
 from ridgeline.operators.ascent import classify_by_ascent, classify_by_ceiling
 from ridgeline.operators.drainage import catchment, classify_by_drainage, drains_to
-from ridgeline.operators.profile import CANDIDATES, analyze, barrier_of_series, classify_by_profile, profiles, sample_cells, segments_of, shorten, stations
+from ridgeline.operators.profile import CANDIDATES, analyze, barrier_of_series, classify_by_profile, judge, profiles, sample_cells, segments_of, shorten, stations
 from ridgeline.operators.raster import mosaic, snap_summits
 from ridgeline.operators.report import class_counts, cross_check, prominence_bands
 from ridgeline.plans import terrain
@@ -71,7 +71,12 @@ def test_profiles_by_block(spark, monkeypatch, size, chunk):
     assert got == {k: _plain_profile(z, *e) for _, k, *e in ends}
     joined = sample_cells(pairs, grid).join(cells.select("cell", "elev"), "cell", "left").groupBy("rank").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "elev"))), lambda s: s["elev"]).alias("z"))
     assert got == {r["rank"]: list(r["z"]) for r in joined.collect()}
-    assert profiles(pairs.limit(0), cells, grid, size).count() == 0
+    assert profiles(pairs.limit(0), cells, grid, size).count() == 0 == judge(pairs.limit(0), cells, grid, 76.2, size).count()
+    # the analysis without the samples is that of the samples
+    for tolerance in (20.0, 120.0, 270.0):
+        want = {r["rank"]: tuple(r["a"]) for r in profiles(pairs, cells, grid, size, chunk).select("rank", analyze(F.transform("z", lambda v: v.cast("double")), tolerance).alias("a")).collect()}
+        assert {r["rank"]: tuple(r["a"]) for r in judge(pairs, cells, grid, tolerance, size, chunk).collect()} == want
+        assert {k: a[0] for k, a in want.items()} == {k: _plain_blocked(_plain_profile(z, *e), tolerance) for _, k, *e in ends}
     assert all(v is None for v in profiles(pairs.limit(1), cells.limit(0), grid, size).first()["z"])
 
 

@@ -2,14 +2,16 @@
 
 Soft-membership mixing. Every document has domain posteriors: a labelled one belongs to its source; one without a source gets those of a classifier that is
 trained on the labelled documents. A nonnegative rate per document says how often it is used. Projected-gradient least squares fits the rates, within each
-document's cap, so that the expected tokens of every domain meet its target; the rates of documents with equal posteriors and caps stay equal, so the rows of
-the iteration are these groups with their token sums, which Spark adds up in every round. Rates become whole repeats by the hash of the document's id:
+document's cap, so that the expected tokens of every domain meet its target; documents whose posteriors are equal to DECIMALS places and whose caps are equal share a rate,
+so the rows of the iteration are these groups with their tokens by domain (summed from the exact posteriors), which Spark adds up in every round. A document of
+unknown source may be used as often as its posteriors expect, rounded down, and once in any case. Rates become whole repeats by the hash of the document's id:
 the part of a source that is used once more is the one below a threshold of the hash, found from the token sums of fine hash ranges, so the tokens of a source
 differ from its rate by no more than one such range.
 
 The size of the mix is the largest at which every source that is there can reach its share within its cap, times `fill`. Sources of the target table without
 documents cannot contribute; their share goes to the others in proportion, and the report shows them with 0. Documents of other sources are not used.
 
+The classifier learns from a bounded sample of labelled documents (TRAIN_DOCS texts of TRAIN_BYTES in all, none above LONGEST); all others are only scored.
 NULL and empty texts have no tokens and are not used. A NULL or repeated target row counts once, with the larger share. Extra columns are ignored.
 """
 
@@ -31,7 +33,9 @@ from ridgeline.session import cut, stable_unit
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Most labelled documents that the domain classifier is trained on, its hash slots, and its passes.
 TRAIN_DOCS, SLOTS, PASSES = 12_000, 1 << 13, 12
-#: Rounds of the projected gradient, the residual at which it stops, hash ranges per source, decimals of posteriors.
+#: Bytes of these documents in all and of one, at most.
+TRAIN_BYTES, LONGEST = 64 << 20, 1 << 20
+#: Rounds of the projected gradient, the residual at which it stops, hash ranges per source (fewer where there are more than a hundred sources), decimals by which posteriors are grouped.
 ROUNDS, SETTLED, RANGES, DECIMALS = 60, 1e-6, 4096, 2
 #: Sources that a target table may have.
 MAX_SOURCES = 1000
@@ -119,8 +123,10 @@ def mix(docs: DataFrame, targets: DataFrame, fill: float = 1.0, tokenizer: str =
     rows = count_tokens(usable.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.col("text").cast("string").alias("text")), "text", tokenizer).filter("n_tokens > 0")
     model = None
     if not usable.filter("source IS NULL").limit(1).isEmpty():
-        n = labelled.count()
-        sample = labelled.filter(stable_unit(F.col("doc_id")) < TRAIN_DOCS / max(n, TRAIN_DOCS)).select("doc_id", "source", "text").orderBy("doc_id").toPandas()
+        fits = labelled.filter(F.octet_length("text") <= LONGEST)
+        size = fits.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
+        rate = min(1.0, TRAIN_DOCS / max(size["n"], 1), TRAIN_BYTES / max(size["b"] or 0, 1))
+        sample = fits.filter(stable_unit(F.col("doc_id")) < rate).select("doc_id", "source", "text").orderBy("doc_id").toPandas()  # at most about TRAIN_BYTES
         model = Domains(len(names)).fit(sample["text"].tolist(), sample["source"].map(names.index).to_numpy(np.int64)) if len(sample) else None
     sent = spark.sparkContext.broadcast((names, model))
     caps = [goal[k][1] for k in names]
@@ -133,15 +139,20 @@ def mix(docs: DataFrame, targets: DataFrame, fill: float = 1.0, tokenizer: str =
             known = f["source"].notna().to_numpy()
             p[np.flatnonzero(known), [place[s] for s in f["source"][known]]] = 1
             if m is not None and (~known).any():
-                p[~known] = m.posterior(f["text"][~known].tolist()).round(DECIMALS)
+                p[~known] = m.posterior(f["text"][~known].tolist())
             out = f[["doc_id", "source", "n_tokens"]].copy()
-            out["post"] = list(p)
-            # a document that may be of several sources is used no more often than the strictest of them allows
-            out["cap"] = [min((caps[k] for k in np.flatnonzero(q > 0.05)), default=0) for q in p]
+            out["post"], out["cap"] = list(p), np.floor(p @ np.array(caps, float) + 1e-6).astype(np.int32)
+            out["alike"] = [zlib.crc32(q.round(DECIMALS).tobytes()) | len(q) << 32 for q in p]
             yield out
 
-    members = cut(rows.mapInPandas(belong, "doc_id long, source string, n_tokens long, post array<double>, cap int"))
-    groups = cut(members.groupBy("post", "cap", F.col("source").isNull().alias("soft")).agg(F.sum("n_tokens").alias("tokens")))
+    members = cut(rows.mapInPandas(belong, "doc_id long, source string, n_tokens long, post array<double>, cap int, alike long").filter("cap > 0"))
+    soft = F.col("source").isNull().alias("soft")
+    by_domain = members.select("alike", "cap", soft, "n_tokens", F.posexplode("post").alias("k", "p")).filter("p > 0").groupBy("alike", "cap", "soft", "k").agg(F.sum(F.col("p") * F.col("n_tokens")).alias("t"))
+    arrays = by_domain.groupBy("alike", "cap", "soft").agg(F.map_from_entries(F.collect_list(F.struct("k", "t"))).alias("m"))  # no more entries than sources
+    parts = F.transform(F.sequence(F.lit(0), F.lit(max(len(names) - 1, 0))), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0)))
+    totals = members.groupBy("alike", "cap", soft).agg(F.sum("n_tokens").alias("tokens"))
+    mean = arrays.join(totals, ["alike", "cap", "soft"]).withColumn("post", F.transform(parts, lambda t: t / F.col("tokens")))
+    groups = cut(mean.select("alike", "cap", "soft", "tokens", "post"))
 
     def sums(of: DataFrame, value) -> np.ndarray:
         parts = of.select(F.posexplode("post").alias("k", "p"), value.alias("v")).filter("p > 0").groupBy("k").agg(F.sum(F.col("p") * F.col("v")).alias("t")).collect()  # a row per source
@@ -177,20 +188,23 @@ def mix(docs: DataFrame, targets: DataFrame, fill: float = 1.0, tokenizer: str =
 
     def rate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = f[["doc_id", "source", "n_tokens", "cap"]].copy()
+            out = f[["alike", "cap", "soft"]].copy()
             out["rate"] = _rates(np.stack(f["post"].to_numpy()), f["cap"].to_numpy(float), history) if len(f) else np.zeros(0)
             yield out
 
-    rated = members.mapInPandas(rate, "doc_id long, source string, n_tokens long, cap int, rate double")
+    # the rate of a document is that of its group
+    found = groups.mapInPandas(rate, "alike long, cap int, soft boolean, rate double")
+    rated = members.select("doc_id", "source", "n_tokens", "cap", "alike", soft).join(found, ["alike", "cap", "soft"]).drop("alike", "soft")
     rated = cut(rated.withColumns({"u": stable_unit(F.col("doc_id")), "whole": F.floor("rate")}))
-    ranges = rated.filter("source IS NOT NULL").groupBy("source", F.floor(F.col("u") * RANGES).alias("at")).agg(F.sum("n_tokens").alias("t"), F.max(F.col("rate") - F.col("whole")).alias("rest")).toPandas()  # at most RANGES rows a source
+    n_ranges = min(RANGES, 100 * RANGES // max(len(names), 1))
+    ranges = rated.filter("source IS NOT NULL").groupBy("source", F.floor(F.col("u") * n_ranges).alias("at")).agg(F.sum("n_tokens").alias("t"), F.max(F.col("rate") - F.col("whole")).alias("rest")).toPandas()  # at most RANGES rows a source and 100 * RANGES in all
     bound = {}
     for k, g in ranges.sort_values("at").groupby("source"):
         run = g["t"].to_numpy(float).cumsum()
         need = g["rest"].max() * run[-1]
         at = int(np.searchsorted(run, need))
         low = run[at - 1] if at else 0.0
-        bound[k] = (float(g["at"].iloc[min(at, len(g) - 1)]) + (need - low) / max(run[min(at, len(run) - 1)] - low, 1)) / RANGES
+        bound[k] = (float(g["at"].iloc[min(at, len(g) - 1)]) + (need - low) / max(run[min(at, len(run) - 1)] - low, 1)) / n_ranges
     limit = F.col("rate") - F.col("whole")
     for k, v in bound.items():
         limit = F.when(F.col("source") == k, F.lit(v)).otherwise(limit)

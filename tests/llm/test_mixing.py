@@ -73,3 +73,18 @@ def test_domains_held_out():
 def test_rates_are_projected():
     r = _rates(np.eye(2), np.array([1.0, 3.0]), np.array([[-2.0, -2.0], [0.5, -2.0], [9.0, 0.0]]))
     assert r.tolist() == pytest.approx([0.0, 3.0])
+
+
+def test_a_document_of_any_of_many_sources_is_used(spark):
+    """Forty sources of one wording: each posterior of a document without a source is about 0.025, and it still takes part."""
+    rng = random.Random(8)
+    words_ = ["river", "tower", "garden", "engine", "bridge", "lamp"]
+    text = lambda: " ".join(rng.choice(words_) for _ in range(12))
+    rows = [(k, text(), f"s{k % 40}") for k in range(400)] + [(1000 + k, text(), None) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([(f"s{k}", 1 / 40, 2) for k in range(40)], "source string, target_share double, max_repeats int")
+    chosen, report = mix(docs, targets)
+    c = chosen.toPandas()
+    assert (c["source"].isna()).sum() > 20 and c["repeats"].max() <= 2
+    shares = [r["share"] for r in report.collect() if r["source"]]
+    assert len(shares) == 40 and max(shares) < 0.04

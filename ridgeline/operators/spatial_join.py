@@ -26,6 +26,8 @@ SAMPLE = 100_000
 #: Rows of a side that a group is meant to hold, and the most leaves of a tree.
 CAPACITY, MAX_LEAVES = 20_000, 16_384
 DEPTH, FANOUT, PROBES = 26, 16, 2048
+#: Edges that the exact test of regions takes at a time.
+EDGES = 4_000_000
 
 
 class PackedRTree:
@@ -215,6 +217,21 @@ def within_distance(left: DataFrame, left_id: str, right: DataFrame, right_id: s
     return _pairs(a, b, "id long, x0 double, y0 double, x1 double, y1 double", radius, (-WORLD, -WORLD, 2 * WORLD), max(2 * radius, 1e-6), refine, "left_id long, right_id long, distance double", "distance")
 
 
+def _edges(rt: pa.Table) -> tuple[np.ndarray, ...]:
+    """The edges of all regions one after the other (x1, y1, x2, y2), where each region's begin and how many it has. Rings of fewer than three points have none."""
+    xs, ys, sizes = (rt[k].combine_chunks() for k in ("xs", "ys", "sizes"))
+    x, y, n = (c.flatten().to_numpy(zero_copy_only=False) for c in (xs, ys, sizes))
+    rings = np.diff(sizes.offsets.to_numpy())
+    n = n.astype(np.int64)
+    start = np.cumsum(n) - n
+    last = start + n - 1
+    to = np.arange(len(x)) + 1
+    to[last[n > 0]] = start[n > 0]
+    real = np.repeat(n >= 3, n)
+    count = np.bincount(np.repeat(np.arange(len(rings)), rings), weights=np.where(n >= 3, n, 0), minlength=len(rings)).astype(np.int64)
+    return x[real], y[real], x[to][real], y[to][real], np.cumsum(count) - count, count
+
+
 def within_regions(points: DataFrame, point_id: str, regions: DataFrame, region_id: str, rings: str, x: str = "x", y: str = "y", square: tuple[float, float, float] = (-180.0, -180.0, 360.0)) -> DataFrame:
     """Pairs (left_id, right_id) of a point and a region that holds it, by the even-odd rule over all rings (array of arrays of struct x, y); rings close by themselves. Regions with fewer than three points hold nothing."""
     a = points.select(points[point_id].cast("long").alias("id"), points[x].cast("double").alias("x"), points[y].cast("double").alias("y")).filter(_finite(F.col("x"), F.col("y")) & F.col("id").isNotNull())
@@ -225,18 +242,20 @@ def within_regions(points: DataFrame, point_id: str, regions: DataFrame, region_
     b = b.filter(_finite(*(F.col(c) for c in ("x0", "y0", "x1", "y1"))))
 
     def refine(px, py, rt, q, item):
-        held = np.zeros(len(q), bool)
-        for k in np.unique(item):
-            at = np.flatnonzero(item == k)
-            vx, vy, inside, lo = np.array(rt["xs"][int(k)].as_py(), float), np.array(rt["ys"][int(k)].as_py(), float), np.zeros(len(at), bool), 0
-            for n in rt["sizes"][int(k)].as_py():
-                ax, ay = vx[lo : lo + n], vy[lo : lo + n]
-                lo += n
-                for x1, y1, x2, y2 in zip(ax, ay, np.roll(ax, -1), np.roll(ay, -1), strict=True) if n >= 3 else ():
-                    cross = (y1 > py[q[at]]) != (y2 > py[q[at]])
-                    if cross.any():
-                        inside ^= cross & (px[q[at]] < (x2 - x1) * (py[q[at]] - y1) / (y2 - y1 if y2 != y1 else 1.0) + x1)
-            held[at] = inside
+        x1, y1, x2, y2, first, count = _edges(rt)
+        held, work = np.zeros(len(q), bool), np.cumsum(count[item])
+        lo = 0
+        while lo < len(q):  # so many pairs at a time as have EDGES edges
+            hi = max(lo + 1, int(np.searchsorted(work, (work[lo - 1] if lo else 0) + EDGES, "right")))
+            n = count[item[lo:hi]]
+            pair = np.repeat(np.arange(hi - lo), n)
+            e = np.repeat(first[item[lo:hi]] - np.cumsum(n) + n, n) + np.arange(len(pair))
+            x, y = px[q[lo:hi]][pair], py[q[lo:hi]][pair]
+            cross = (y1[e] > y) != (y2[e] > y)
+            e, x, y, pair = e[cross], x[cross], y[cross], pair[cross]
+            right = x < (x2[e] - x1[e]) * (y - y1[e]) / (y2[e] - y1[e]) + x1[e]
+            held[lo:hi] = np.bincount(pair[right], minlength=hi - lo) % 2 == 1
+            lo = hi
         return held, np.zeros(held.sum())
 
     return _pairs(a, b, "id long, x0 double, y0 double, x1 double, y1 double, xs array<double>, ys array<double>, sizes array<int>", 0.0, square, 1e-4, refine, "left_id long, right_id long", None)

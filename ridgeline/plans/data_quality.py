@@ -11,7 +11,7 @@ from ridgeline.functions.heights import number_in, stated_unit, to_metres, unit_
 from ridgeline.operators.line_rejects import load_lines, rejected_lines
 from ridgeline.operators.packed_values import split_values
 from ridgeline.operators.record_linkage import link, name_agreement, name_key, steps
-from ridgeline.operators.spatial_join import within_distance
+from ridgeline.operators.spatial_join import within_distance, within_regions
 from ridgeline.operators.unit_inference import infer_units
 from ridgeline.session import cut, one_delivery, ship, table
 
@@ -96,6 +96,17 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("left_id").alias("peak_id"), F.col("right_id").alias("osm_id"))
 
 
+def p3_regions(spark: SparkSession, folder: str) -> DataFrame:
+    """The mapped features within the region between a reference peak and its key saddle: the triangle of both and of the corner south or north of the peak, in plain degrees."""
+    ship(spark)
+    peaks = one_delivery(table(spark, folder, "peaks_corridor").select("peak_id", "lat", "lon", "ksaddle_lat", "ksaddle_lon"), "peak_id").filter("lat IS NOT NULL AND lon IS NOT NULL")
+    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    regions = peaks.select("peak_id", F.array(F.array(corner("lon", "lat"), corner("lon", "ksaddle_lat"), corner("ksaddle_lon", "ksaddle_lat"))).alias("rings"))
+    points = one_delivery(table(spark, folder, "osm_peaks").select("osm_id", "geometry"), "osm_id").select("osm_id", "geometry.x", "geometry.y")
+    held = within_regions(points, "osm_id", regions, "peak_id", "rings")
+    return held.select(F.col("right_id").alias("peak_id"), F.col("left_id").alias("osm_id"))
+
+
 #: Projected metres within which records are compared, and the side of the squares within which they do not rule each other out.
 LINK_RADIUS, PLACE = 1000.0, 5000.0
 #: Comparisons: number of levels, and the level from which each starts out as a sign of a match.
@@ -179,13 +190,20 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return rejected_lines(load_lines(table(spark, folder, "kirmse_raw"))).select("line_id", "reason")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_heights": p2_heights, "p2_review": p2_review, "p3_found": p3_found, "p4_found": p4_found, "p4_links": p4_links, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_heights": p2_heights, "p2_review": p2_review, "p3_found": p3_found, "p3_regions": p3_regions, "p4_found": p4_found, "p4_links": p4_links, "p5_found": p5_found}
 SQL: dict[str, str] = {
     "p3_found": """
 WITH a AS (SELECT DISTINCT peak_id, radians(lon) * 6378137.0 AS x, 6378137.0 * ln(tan(pi() / 4 + radians(lat) / 2)) AS y FROM peaks_corridor WHERE lat IS NOT NULL AND lon IS NOT NULL),
      b AS (SELECT DISTINCT osm_id, radians(geometry.x) * 6378137.0 AS x, 6378137.0 * ln(tan(pi() / 4 + radians(geometry.y) / 2)) AS y FROM osm_peaks WHERE geometry IS NOT NULL)
 SELECT peak_id, osm_id FROM a JOIN b ON b.x BETWEEN a.x - 200 AND a.x + 200 AND b.y BETWEEN a.y - 200 AND a.y + 200
 WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 200""",
+    "p3_regions": """
+WITH t AS (SELECT peak_id, [{'x': lon, 'y': lat}, {'x': lon, 'y': ksaddle_lat}, {'x': ksaddle_lon, 'y': ksaddle_lat}] AS pts FROM peaks_corridor
+  WHERE lat IS NOT NULL AND lon IS NOT NULL AND ksaddle_lat IS NOT NULL AND ksaddle_lon IS NOT NULL QUALIFY row_number() OVER (PARTITION BY peak_id) = 1),
+e AS (SELECT peak_id, pts[i] AS a, pts[i % 3 + 1] AS b FROM t, (VALUES (1), (2), (3)) v(i)),
+p AS (SELECT DISTINCT osm_id, geometry.x AS x, geometry.y AS y FROM osm_peaks WHERE geometry IS NOT NULL)
+SELECT peak_id, osm_id FROM e JOIN p ON y BETWEEN least(a.y, b.y) AND greatest(a.y, b.y) WHERE (a.y > y) <> (b.y > y) AND x < (b.x - a.x) * (y - a.y) / (b.y - a.y) + a.x
+GROUP BY peak_id, osm_id HAVING count(*) % 2 = 1""",
     "p5_found": r"""
 WITH l AS (SELECT line_id, coalesce(raw_line, '') AS t FROM kirmse_raw),
 q AS (SELECT line_id, regexp_full_match(t, '([ \t\r]*"([^"]|"")*"[ \t\r]*|[^",]*)(,([ \t\r]*"([^"]|"")*"[ \t\r]*|[^",]*))*') AS ok, regexp_extract_all(t || ',', '([ \t\r]*"(?:[^"]|"")*"[ \t\r]*|[^",]*),', 1) AS f FROM l),

@@ -27,7 +27,8 @@ from ridgeline.sources.features import is_route, named, projected, road_lines, r
 from ridgeline.sources.peak_list import CORRIDOR, in_corridor, parse_peak_list
 from ridgeline.sources.tiles import grid_of, tile_cover
 
-WIDTH, SIZE, ASCENT = 64, 64, 150.0
+#: Columns of the raster that stands in, the side of its blocks (so that paths cross borders in both directions), the tolerance.
+WIDTH, SIZE, ASCENT = 64, 32, 150.0
 
 
 def _raster(spark: SparkSession, d: str) -> tuple[DataFrame, R.Grid]:
@@ -90,9 +91,9 @@ def profile_barrier(spark, d):
 
 
 def profile_barrier_array(spark, d):
-    """The same over arrays, after thinning to 40 samples."""
+    """The same over arrays, after thinning to the samples that are passed on."""
     z = table(spark, d, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda s: s["value"]).alias("z"))
-    s = z.select("user_id", shorten(F.col("z"), 40).alias("z")).withColumn("a", analyze(F.col("z")))
+    s = z.select("user_id", shorten(F.col("z")).alias("z")).withColumn("a", analyze(F.col("z")))
     return s.select("user_id", F.size("z").cast("long").alias("n"), F.col("a.blocked").alias("blocked"), F.col("a.lo").cast("long").alias("lo"), F.col("a.barrier").cast("long").alias("barrier"))
 
 

@@ -11,7 +11,7 @@ _SEGMENTS = """pt AS (SELECT osm_id, p.part - 1 AS part, p.pts FROM rt, (SELECT
 sd AS (SELECT osm_id, part, i - 1 AS seg, pts[i] AS a, pts[i + 1] AS b FROM (SELECT osm_id, part, pts, unnest(range(1, len(pts))) AS i FROM pt)),
 sg AS (SELECT osm_id, part, seg, radians(a.x) * 6378137.0 AS x0, 6378137.0 * ln(tan(pi() / 4 + radians(a.y) / 2)) AS y0, radians(b.x) * 6378137.0 AS x1, 6378137.0 * ln(tan(pi() / 4 + radians(b.y) / 2)) AS y1 FROM sd)"""
 _RASTER = """g AS (SELECT max(vec_id) + 1 AS nrows FROM embeddings),
-r AS (SELECT vec_id AS row, i - 1 AS col, vec_id * 64 + i - 1 AS cell, CAST(floor(CAST(embedding[i] AS DOUBLE) * 1000) AS BIGINT) AS z FROM embeddings, range(1, 65) t(i))"""
+r AS MATERIALIZED (SELECT vec_id AS row, i - 1 AS col, vec_id * 64 + i - 1 AS cell, CAST(floor(CAST(embedding[i] AS DOUBLE) * 1000) AS BIGINT) AS z FROM embeddings, range(1, 65) t(i))"""
 _LINE = "ln AS (SELECT * FROM (SELECT n_nationkey AS k, n_nationkey * 37 % 64 + 0.5::DOUBLE AS x0, n_nationkey * 19 + 0.5::DOUBLE AS y0, lead(n_nationkey * 37 % 64 + 0.5::DOUBLE) OVER (ORDER BY n_nationkey) AS x1, lead(n_nationkey * 19 + 0.5::DOUBLE) OVER (ORDER BY n_nationkey) AS y1 FROM nation) WHERE x1 IS NOT NULL)"
 _CELLS = """tt AS (SELECT *, list_sort(list_distinct(list_concat([0.0::DOUBLE, 1.0::DOUBLE],
     CASE WHEN x0 <> x1 THEN list_transform(range(ceil(least(x0, x1))::BIGINT, floor(greatest(x0, x1))::BIGINT + 1), lambda q: (q - x0) / (x1 - x0)) ELSE [] END,
@@ -27,7 +27,7 @@ _W = "CAST(CAST(round_even({0}, 0) AS BIGINT) AS VARCHAR)"
 _D8 = """dn AS (SELECT r.cell, o, CASE WHEN r.row + dr BETWEEN 0 AND nrows - 1 AND r.col + dc BETWEEN 0 AND 63 THEN n.cell ELSE r.cell END AS to_cell,
     CASE WHEN r.row + dr BETWEEN 0 AND nrows - 1 AND r.col + dc BETWEEN 0 AND 63 THEN (r.z - n.z) / d ELSE 'inf'::DOUBLE END AS drop
   FROM r CROSS JOIN g CROSS JOIN (VALUES (0, -1, 0, 1.0::DOUBLE), (1, 1, 0, 1.0), (2, 0, -1, 1.0), (3, 0, 1, 1.0), (4, -1, -1, 1.41421356), (5, -1, 1, 1.41421356), (6, 1, -1, 1.41421356), (7, 1, 1, 1.41421356)) s(o, dr, dc, d)
-  LEFT JOIN r n ON n.row = r.row + dr AND n.col = r.col + dc),
+  LEFT JOIN r n ON n.cell = CASE WHEN r.col + dc BETWEEN 0 AND 63 THEN (r.row + dr) * 64 + r.col + dc END),
 rec AS (SELECT r.cell, coalesce(b.to_cell, r.cell) AS receiver FROM r LEFT JOIN (SELECT cell, to_cell FROM dn WHERE drop > 0 QUALIFY row_number() OVER (PARTITION BY cell ORDER BY drop DESC, o) = 1) b USING (cell))"""
 _CATCH = """ca(cell) AS (SELECT cell FROM seed UNION SELECT rec.cell FROM rec JOIN ca ON rec.receiver = ca.cell)"""
 
@@ -65,7 +65,7 @@ SELECT user_id, count(*) AS n, count(z) < 2 OR max(fall) >= 76.2 AS blocked, CAS
 SQL = {
     "profile_barrier": f"WITH s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, value AS z FROM events), {_SERIES}",
     "profile_barrier_array": f"""WITH q AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS c, value AS z FROM events),
-k AS (SELECT DISTINCT user_id, c, CASE WHEN c <= 40 THEN j WHEN j = 39 THEN c - 1 ELSE CAST(trunc(j * ((c - 1) / 39.0::DOUBLE)) AS BIGINT) END AS i, j FROM q, range(0, 1000) t(j) WHERE j < least(c, CASE WHEN c <= 40 THEN c ELSE 40 END)),
+k AS (SELECT DISTINCT user_id, c, CASE WHEN c <= 80 THEN j WHEN j = 79 THEN c - 1 ELSE CAST(trunc(j * ((c - 1) / 79.0::DOUBLE)) AS BIGINT) END AS i, j FROM q, range(0, 1000) t(j) WHERE j < least(c, CASE WHEN c <= 80 THEN c ELSE 80 END)),
 s AS (SELECT k.user_id, k.j AS i, q.z FROM k JOIN q ON q.user_id = k.user_id AND q.i = k.i), {_SERIES}""",
     "terrarium_decode": """WITH t AS (SELECT p_partkey, CAST((120 + p_partkey % 36) * 256 + p_partkey * 7 % 256 + (p_partkey * 13 % 256) / 256.0::DOUBLE - 32768 AS FLOAT)::DOUBLE AS elev FROM part)
 SELECT p_partkey, elev, CASE WHEN elev <= 4500 AND elev <> -32768 THEN elev END AS masked FROM t""",

@@ -17,7 +17,7 @@ from ridgeline.operators.ascent import classify_by_ascent, classify_by_ceiling
 from ridgeline.operators.drainage import catchment, classify_by_drainage, divide_test, drains_to
 from ridgeline.operators.flood import fill_depressions, reach_mark
 from ridgeline.operators.nearest import distance_to_segments, nearest_k, nearest_to_point, nearest_within
-from ridgeline.operators.profile import analyze, barrier_of_series, classify_by_profile, sample_cells, segments_of, shorten, stations
+from ridgeline.operators.profile import analyze, barrier_of_series, choose, classify_by_profile, judge, sample_cells, segments_of, shorten, station_lines, stations
 from ridgeline.operators.prominence import peak_table, prominence
 from ridgeline.operators.report import class_counts, cross_check, distance_quantiles, prominence_bands
 from ridgeline.plans.terrain_sql import SQL  # noqa: F401
@@ -250,6 +250,14 @@ def by_profile(spark, d):
     return classify_by_profile(peaks, cells, _pixel_stations(spark, d), grid, ASCENT)
 
 
+def profile_choice(spark, d):
+    """Which of a point's 30 profiles is chosen, and what it shows."""
+    cells, grid = _raster(spark, d)
+    peaks = _points(spark, d, grid).select("peak_id", grid.x(F.col("col")).alias("x"), grid.y(F.col("row")).alias("y"))
+    c = choose(judge(station_lines(peaks, cells, _pixel_stations(spark, d), grid), cells, grid, ASCENT, SIZE), "rank", "a")
+    return c.select("peak_id", "frontrow", F.col("c.rank").cast("long").alias("rank"), "c.a.blocked", *(F.col(f"c.a.{k}").cast("long").alias(k) for k in ("lo", "barrier")))
+
+
 def profile_counts(spark, d):
     """Classes of the profile test."""
     return class_counts(by_profile(spark, d))
@@ -389,7 +397,7 @@ QUERIES = {
     "mosaic_cells": mosaic_cells, "mercator": mercator, "parse_list": parse_list, "bbox_filter": bbox_filter, "route_filter": route_filter, "route_dissolved": route_dissolved, "local_maxima_4": maxima(4), "local_maxima_8": maxima(8),
     "snap_summit": snap_summit, "prominence": prominence_all, "prominence_4": prominence_four, "peak_table": peaks_found, "reach_mark": reach(ASCENT), "ceiling_mark": reach(None), "d8_receivers": d8, "fill_depressions": fill,
     "catchment": catchment_raw, "catchment_filled": catchment_filled, "divide_test": divide, "classify_ascent": by_ascent, "classify_ceiling": by_ceiling, "classify_drainage": by_drainage, "classify_profile": by_profile,
-    "profile_counts": profile_counts, "rasterize_line": rasterize_line, "route_stations": route_stations, "profile_samples": profile_samples, "nearest_name": nearest_name, "cross_check": cross_checked, "knn_30": knn_30,
+    "profile_choice": profile_choice, "profile_counts": profile_counts, "rasterize_line": rasterize_line, "route_stations": route_stations, "profile_samples": profile_samples, "nearest_name": nearest_name, "cross_check": cross_checked, "knn_30": knn_30,
     "point_line_distance": point_line_distance, "route_quantiles": route_quantiles, "prominence_bands": bands, "peak_counts": peak_counts, "nearest_to_point": nearest_probe, "top_peaks": top_peaks, "ranked_peaks": ranked,
     "labels": labels, "gpx_waypoints": gpx, "geojson_features": geojson, "app_rows": app_rows, "app_features": app_features, "visible_waypoints": visible_peaks, "app_payload": payload, "unit_texts": units,
 }

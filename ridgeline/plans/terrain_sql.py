@@ -52,6 +52,40 @@ def _reach(step: str) -> str:
     return _marks(step) + "SELECT cell, h AS mark FROM m"
 
 
+#: Filled heights with the steps to where a flat drains, as one number v = height * 1000000 + steps; receivers over them; what drains to the line.
+_FILLED = f"""WITH RECURSIVE {_RASTER}, {_LINE}, {_CELLS}, {_POINTS},
+rim AS (SELECT cell FROM r, g WHERE row IN (0, nrows - 1) OR col IN (0, 63)),
+s8(o, dr, dc, d) AS (VALUES (0, -1, 0, 1.0::DOUBLE), (1, 1, 0, 1.0), (2, 0, -1, 1.0), (3, 0, 1, 1.0), (4, -1, -1, 1.41421356), (5, -1, 1, 1.41421356), (6, 1, -1, 1.41421356), (7, 1, 1, 1.41421356)),
+e AS MATERIALIZED (SELECT r.cell AS a, n.cell AS b, n.z FROM r CROSS JOIN s8 JOIN r n ON n.cell = CASE WHEN r.col + dc BETWEEN 0 AND 63 THEN (r.row + dr) * 64 + r.col + dc END),
+m(cell, v) USING KEY (cell) AS (SELECT r.cell, r.z * 1000000 FROM r JOIN rim USING (cell)
+  UNION SELECT e.b, min(CASE WHEN e.z > floor(m.v / 1000000) THEN e.z * 1000000 ELSE m.v + 1 END)::BIGINT FROM m JOIN e ON e.a = m.cell LEFT JOIN recurring.m AS old ON old.cell = e.b
+  WHERE old.v IS NULL OR (CASE WHEN e.z > floor(m.v / 1000000) THEN e.z * 1000000 ELSE m.v + 1 END) < old.v GROUP BY e.b),
+fl AS MATERIALIZED (SELECT r.cell, r.row, r.col, floor(v / 1000000) AS z, v - floor(v / 1000000) * 1000000 AS hops FROM m JOIN r USING (cell)),
+dn AS (SELECT f.cell, o, CASE WHEN n.cell IS NULL THEN f.cell ELSE n.cell END AS to_cell, CASE WHEN n.cell IS NULL THEN 'inf'::DOUBLE ELSE (f.z - n.z) / d END AS drop, CASE WHEN f.z = n.z THEN (f.hops - n.hops) / d ELSE 0 END AS down
+  FROM fl f CROSS JOIN s8 LEFT JOIN fl n ON n.cell = CASE WHEN f.col + dc BETWEEN 0 AND 63 THEN (f.row + dr) * 64 + f.col + dc END),
+rec AS MATERIALIZED (SELECT cell, to_cell AS receiver FROM dn WHERE drop > 0 OR (drop = 0 AND down > 0) QUALIFY row_number() OVER (PARTITION BY cell ORDER BY drop DESC, down DESC, o) = 1),
+ca(cell) AS (SELECT cell FROM seed UNION SELECT rec.cell FROM rec JOIN ca ON rec.receiver = ca.cell),
+sn AS (SELECT peak_id, r.row, r.col FROM pp JOIN r ON r.row BETWEEN pp.row - 3 AND pp.row + 3 AND r.col BETWEEN pp.col - 3 AND pp.col + 3 QUALIFY row_number() OVER (PARTITION BY peak_id ORDER BY z DESC, r.row, r.col) = 1)
+"""
+
+#: The chosen profile of each point: the shortest clear one among those from its 30 nearest stations on the line, else that of the nearest.
+_CHOSEN = f"""WITH {_RASTER}, {_LINE}, {_POINTS},
+le AS (SELECT *, sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) AS len FROM ln), lc AS (SELECT *, sum(len) OVER (ORDER BY k) AS upto, lead(k) OVER (ORDER BY k) IS NULL AS last FROM le),
+st AS (SELECT CAST(k * 100000 + floor(d * 10) AS BIGINT) AS cand_id, x, y FROM (
+  SELECT k, q * 5.0::DOUBLE AS d, x0 + (x1 - x0) * ((q * 5.0::DOUBLE - (upto - len)) / len) AS x, y0 + (y1 - y0) * ((q * 5.0::DOUBLE - (upto - len)) / len) AS y
+  FROM (SELECT *, unnest(range(ceil((upto - len) / 5)::BIGINT, ceil(upto / 5)::BIGINT)) AS q FROM lc WHERE len > 0) UNION ALL SELECT k, upto, x1, y1 FROM lc WHERE last)),
+sn AS (SELECT pp.peak_id, pp.col + 0.5::DOUBLE AS px, pp.row + 0.5::DOUBLE AS py, r.col + 0.5::DOUBLE AS sx, r.row + 0.5::DOUBLE AS sy FROM pp JOIN r ON r.row BETWEEN pp.row - 3 AND pp.row + 3 AND r.col BETWEEN pp.col - 3 AND pp.col + 3
+  QUALIFY row_number() OVER (PARTITION BY peak_id ORDER BY z DESC, r.row, r.col) = 1),
+nn AS (SELECT peak_id, sx, sy, x AS hx, y AS hy, row_number() OVER (PARTITION BY peak_id ORDER BY sqrt((px - x) ** 2 + (py - y) ** 2), cand_id) - 1 AS rank FROM sn, st QUALIFY rank < 30),
+np AS (SELECT *, greatest(2, CAST(floor(sqrt((sx - hx) ** 2 + (sy - hy) ** 2)) AS BIGINT) + 1) AS n, sqrt((sx - hx) ** 2 + (sy - hy) ** 2) AS length FROM nn),
+sm AS (SELECT peak_id, rank, length, i, r.z FROM (SELECT *, unnest(range(0, n)) AS i FROM np), g,
+  r WHERE r.cell = greatest(0, least(nrows - 1, CAST(trunc(CASE WHEN i = n - 1 THEN sy ELSE hy + i * ((sy - hy) / (n - 1)) END) AS BIGINT))) * 64 + greatest(0, least(63, CAST(trunc(CASE WHEN i = n - 1 THEN sx ELSE hx + i * ((sx - hx) / (n - 1)) END) AS BIGINT)))),
+lo AS (SELECT *, first_value(i) OVER (PARTITION BY peak_id, rank ORDER BY z, i) AS lo FROM sm),
+fa AS (SELECT *, max(z) OVER (PARTITION BY peak_id, rank ORDER BY i ROWS UNBOUNDED PRECEDING) - z AS fall FROM lo WHERE i >= lo),
+pr AS (SELECT peak_id, rank, any_value(length) AS length, any_value(lo) AS lo, max(fall) >= 150 AS blocked, arg_max(i, (fall, -i)) AS place FROM fa GROUP BY peak_id, rank),
+ch AS (SELECT peak_id, rank, NOT blocked AS frontrow, blocked, lo, CASE WHEN blocked THEN place ELSE -1 END AS barrier FROM pr QUALIFY row_number() OVER (PARTITION BY peak_id ORDER BY blocked, CASE WHEN blocked THEN 0 ELSE length END, rank) = 1)
+"""
+
 _FOUR = "(-1, 0), (1, 0), (0, -1), (0, 1)"
 _EIGHT = _FOUR + ", (-1, -1), (-1, 1), (1, -1), (1, 1)"
 _PARSE = r"^\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
@@ -97,6 +131,11 @@ QUALIFY row_number() OVER (PARTITION BY peak_id ORDER BY z DESC, r.row, r.col) =
     "classify_ceiling": _marks("") + "SELECT peak_id, CAST(z AS FLOAT) AS summit_elev_m, CAST(h - z AS DOUBLE) AS barrier_above_m, coalesce(h - z <= 0, false) AS frontrow FROM sn LEFT JOIN m USING (cell)",
     "d8_receivers": f"WITH {_RASTER}, {_D8} SELECT cell, receiver FROM rec",
     "catchment": f"WITH RECURSIVE {_RASTER}, {_LINE}, {_CELLS}, {_D8}, {_CATCH} SELECT cell FROM ca",
+    "catchment_filled": _FILLED + "SELECT cell FROM ca",
+    "classify_drainage": _FILLED + """SELECT peak_id, count(ca.cell) AS n_in, count(*) - count(ca.cell) AS n_out, count(ca.cell) > 0 AS drains, count(ca.cell) > 0 AND count(ca.cell) < count(*) AS on_divide, count(ca.cell) > 0 AS frontrow
+FROM sn JOIN r ON r.row BETWEEN sn.row - 5 AND sn.row + 5 AND r.col BETWEEN sn.col - 5 AND sn.col + 5 LEFT JOIN ca ON ca.cell = r.cell GROUP BY peak_id""",
+    "profile_choice": _CHOSEN + "SELECT peak_id, frontrow, rank, blocked, lo, barrier FROM ch",
+    "profile_counts": _CHOSEN + "SELECT count(*) AS peaks, count(*) FILTER (frontrow) AS front, count(*) FILTER (NOT frontrow) AS behind FROM ch",
     "divide_test": f"""WITH RECURSIVE {_RASTER}, {_LINE}, {_CELLS}, {_D8}, {_CATCH}, {_POINTS}
 SELECT peak_id, count(ca.cell) AS n_in, count(*) - count(ca.cell) AS n_out, count(ca.cell) > 0 AS drains, count(ca.cell) > 0 AND count(ca.cell) < count(*) AS on_divide
 FROM pp JOIN r ON r.row BETWEEN pp.row - 5 AND pp.row + 5 AND r.col BETWEEN pp.col - 5 AND pp.col + 5 LEFT JOIN ca ON ca.cell = r.cell GROUP BY peak_id""",

@@ -11,13 +11,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ridgeline.functions.geo import lat_of, lon_of
 from ridgeline.operators.graph import elder_merge, pointer_jump
 from ridgeline.operators.raster import BLOCK, STEPS, Block, Grid, per_block, with_position
-from ridgeline.session import cut
+from ridgeline.session import cut, numbered
 
 #: Metres in a foot, and the least prominence of a peak (250 ft) in metres. Fixed values.
 FOOT = 0.3048
@@ -86,8 +85,8 @@ def peak_table(cells: DataFrame, grid: Grid, least: float = LEAST_PROMINENCE, ne
     """Peaks with their positions and key saddles, numbered from 0 by falling prominence."""
     p = with_position(prominence(cells, grid, least, neighbours, size), grid)
     saddle = (F.expr(f"saddle_cell div {grid.ncols}"), F.col("saddle_cell") % grid.ncols)
-    rank = F.row_number().over(W.orderBy(F.desc("prom"), "cell")) - 1
+    p = numbered(p, "peak_id", F.desc("prom"), F.col("cell"))
     return p.select(
-        rank.cast("long").alias("peak_id"), lat_of(grid.y(F.col("row"))).alias("lat"), lon_of(grid.x(F.col("col"))).alias("lon"), F.col("elev").alias("elev_m"), (F.col("elev") / FOOT).alias("elev_ft"),
+        "peak_id", lat_of(grid.y(F.col("row"))).alias("lat"), lon_of(grid.x(F.col("col"))).alias("lon"), F.col("elev").alias("elev_m"), (F.col("elev") / FOOT).alias("elev_ft"),
         F.col("prom").alias("prom_m"), (F.col("prom") / FOOT).alias("prom_ft"), lat_of(grid.y(saddle[0])).alias("saddle_lat"), lon_of(grid.x(saddle[1])).alias("saddle_lon"), "frame_limited", "cell", "row", "col",
     )

@@ -18,8 +18,8 @@ from ridgeline.operators.drainage import classify_by_drainage
 from ridgeline.operators.nearest import nearest_within
 from ridgeline.operators.profile import classify_by_profile, segments_of, stations
 from ridgeline.operators.prominence import LEAST_PROMINENCE, peak_table
-from ridgeline.operators.report import cross_check
-from ridgeline.sinks.exports import export_all, write_app
+from ridgeline.operators.report import class_counts, cross_check, prominence_bands
+from ridgeline.sinks.exports import export_files, write_app, write_report
 from ridgeline.sources.features import named, projected, route
 from ridgeline.sources.peak_list import in_corridor, parse_peak_list
 from ridgeline.sources.tiles import grid_of, tile_extent
@@ -116,6 +116,7 @@ def run(spark: SparkSession, tiles: DataFrame, features: DataFrame, ways: DataFr
     done, details = classify(peaks, cells, road, grid, s)
     done = materialize(spark, folder, "classified", (s.__dict__, base, roads, fingerprint(features)), lambda: done, overwrite)
     out = os.path.join(folder, "exports")
-    paths = export_all(done, out)
+    paths = export_files(done, out)
+    paths["report"] = write_report(os.path.join(out, "report.txt"), classes=class_counts(done), prominence_bands_ft=prominence_bands(done), cross_check=checked)
     paths["app"] = write_app(done, road, details, os.path.join(out, "app.html"))
     return {"peaks": done, "cross_check": checked, "paths": paths}

@@ -21,7 +21,7 @@ from ridgeline.operators.profile import analyze, barrier_of_series, choose, clas
 from ridgeline.operators.prominence import peak_table, prominence
 from ridgeline.operators.report import class_counts, cross_check, distance_quantiles, prominence_bands
 from ridgeline.plans.terrain_sql import SQL  # noqa: F401
-from ridgeline.session import cut, one_delivery, ship, table
+from ridgeline.session import cut, numbered, one_delivery, ship, table
 from ridgeline.sinks.exports import app_feature, app_payload, feature, visible, visible_waypoint, waypoint
 from ridgeline.sources.features import is_route, named, projected, road_lines, route
 from ridgeline.sources.peak_list import CORRIDOR, in_corridor, parse_peak_list
@@ -341,8 +341,8 @@ def top_peaks(spark, d):
 
 def ranked(spark, d):
     """Reference peaks numbered by falling prominence, per list."""
-    w = W.partitionBy("list_code").orderBy(F.desc_nulls_last("prom_ft"), "peak_id")
-    return _corridor(spark, d).select("list_code", "peak_id", (F.row_number().over(w) - 1).cast("long").alias("place"))
+    peaks = _corridor(spark, d).select("list_code", "peak_id", "prom_ft")
+    return numbered(peaks, "place", F.desc_nulls_last("prom_ft"), F.col("peak_id"), by="list_code").select("list_code", "peak_id", "place")
 
 
 def labels(spark, d):

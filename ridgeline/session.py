@@ -41,6 +41,8 @@ def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir", "")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "ridgeline-checkpoints"))
     return df.checkpoint(eager=True)
 
@@ -55,6 +57,22 @@ def one_delivery(df: DataFrame, *keys: str, late: str = "loaded_at") -> DataFram
     return df.drop(late).dropDuplicates(list(keys)) if late in df.columns else df.dropDuplicates(list(keys))
 
 
+def numbered(df: DataFrame, name: str, *order, by: str | None = None) -> DataFrame:
+    """Adds the place of each row in an order, from 0, within each value of `by`. Rows are sorted by range over all tasks and counted by task, so no task sees them all, nor all of a
+    value's; what reaches the driver is one count per task."""
+    sorted_ = cut(df.orderBy(*([F.col(by)] if by else []), *order).select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_n")))
+    sizes = sorted_.groupBy("_p").agg(F.count(F.lit(1)).alias("c"), F.min("_n").alias("first")).orderBy("_p").collect()
+    before, offsets = 0, []
+    for r in sizes:
+        offsets += [F.lit(r["_p"]), F.lit(before - r["first"])]
+        before += r["c"]
+    out = sorted_.withColumn(name, F.col("_n") + F.create_map(*offsets)[F.col("_p")] if offsets else F.lit(0).cast("long")).drop("_p", "_n")
+    if by is None:
+        return out
+    starts = out.groupBy(by).agg(F.min(name).alias("_s"))
+    return out.join(starts, out[by].eqNullSafe(starts[by])).drop(starts[by]).withColumn(name, F.col(name) - F.col("_s")).drop("_s")
+
+
 def stable_unit(*cols) -> F.Column:
     """A number in [0, 1) that depends on the columns' values only."""
     return (F.xxhash64(*cols).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))).cast("double")

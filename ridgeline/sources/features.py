@@ -43,6 +43,13 @@ def projected(segments: DataFrame) -> DataFrame:
     return segments.withColumns({"x0": mercator_x(F.col("x0")), "y0": mercator_y(F.col("y0")), "x1": mercator_x(F.col("x1")), "y1": mercator_y(F.col("y1"))})
 
 
+def summits(features: DataFrame, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """Mapped summits: those tagged natural=peak where the table has tags, within a box (west, south, east, north) of lon and lat if one is given."""
+    if "tags" in features.columns:
+        features = features.filter(F.try_element_at("tags", F.lit("natural")) == "peak")
+    return features if box is None else features.filter(F.col("lon").between(box[0], box[2]) & F.col("lat").between(box[1], box[3]))
+
+
 def named(peaks: DataFrame) -> DataFrame:
     """Features with a name; a table without names has none."""
     return peaks.filter("name IS NOT NULL") if "name" in peaks.columns else peaks.limit(0)

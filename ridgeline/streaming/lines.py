@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ridgeline.operators.line_rejects import load_lines
+from ridgeline.operators.line_rejects import load_lines, rejected_lines, valid_lines
 
 
 def stream_lines(spark: SparkSession, folder: str, schema: str = "line_id long, src_file string, raw_line string, loaded_at timestamp") -> DataFrame:
@@ -22,12 +22,13 @@ def once_each(lines: DataFrame, lateness: str = "180 days") -> DataFrame:
 
 
 def write_split(lines: DataFrame, good: str, bad: str, checkpoint: str) -> StreamingQuery:
-    """Typed records to one Parquet folder, rejected lines to another."""
+    """Typed records to one Parquet folder, rejected lines to another. Each batch has a folder of its own by its number, which a repeated run of it writes anew, so none comes out
+    twice."""
 
-    def both(batch: DataFrame, _: int) -> None:
+    def both(batch: DataFrame, number: int) -> None:
         loaded = load_lines(batch).persist()
-        loaded.filter("reason IS NULL").drop("reason", "reader_error", "raw_line").write.mode("append").parquet(good)
-        loaded.filter("reason IS NOT NULL").select("line_id", "src_file", "raw_line", "reason").write.mode("append").parquet(bad)
+        valid_lines(loaded).write.mode("overwrite").parquet(f"{good}/batch={number}")
+        rejected_lines(loaded).select("line_id", "src_file", "raw_line", "reason").write.mode("overwrite").parquet(f"{bad}/batch={number}")
         loaded.unpersist()
 
     return lines.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

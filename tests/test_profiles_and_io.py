@@ -18,7 +18,9 @@ from ridgeline.operators.profile import CANDIDATES, analyze, barrier_of_series,
 from ridgeline.operators.raster import mosaic, snap_summits
 from ridgeline.operators.report import class_counts, cross_check, prominence_bands
 from ridgeline.plans import terrain
-from ridgeline.sinks.exports import app_payload, export_all, write_app
+from ridgeline.session import numbered
+from ridgeline.sinks.exports import app_payload, chart, export_files, export_visible, write_app, write_report
+from ridgeline.sinks.rasters import read_tiles, write_tiles
 from ridgeline.sources.features import is_route, named, present, route
 from ridgeline.sources.geopackage import GeoPackage, points_of, wkb_of
 from ridgeline.sources.peak_list import in_corridor, parse_peak_list, read_lines
@@ -166,10 +168,14 @@ def test_reports(spark):
 
 def test_exports(spark, tmp_path):
     df = spark.createDataFrame([(0, 47.1, -121.5, 5000.5, 2.5, True, "A & <B>"), (1, 47.2, -121.4, 4000.0, 900.0, False, "")], "peak_id long, lat double, lon double, elev_ft double, prom_ft double, frontrow boolean, name string")
-    paths = export_all(df, str(tmp_path))
-    text = open(paths["gpx_all"]).read()
+    paths = export_files(df, str(tmp_path))
+    text = open(paths["all_peaks.gpx"]).read()
     assert text.index("4000ft pk (P900)") < text.index("A &amp; &lt;B&gt;") and "occluded (+0 m barrier)" in text and "<ele>1524.2</ele>" in text and "elev 5000 ft, prominence 2 ft" in text
-    assert open(paths["gpx_frontrow"]).read().count("<wpt") == 1 and len(json.load(open(paths["geojson"]))["features"]) == 2
+    assert open(paths["frontrow_peaks.gpx"]).read().count("<wpt") == 1 and len(json.load(open(paths["peaks.geojson"]))["features"]) == 2
+    seen = export_visible(df, str(tmp_path), 100.0, ["behind"])
+    assert [f["properties"]["id"] for f in json.load(open(seen["visible_peaks.geojson"]))["features"]] == [1] and open(seen["visible_peaks.gpx"]).read().count("<wpt") == 1
+    report = open(write_report(str(tmp_path / "r.txt"), classes=class_counts(df), bands=prominence_bands(df))).read()
+    assert "  peaks: 2" in report and "  500  1000  1" in report
     line = spark.createDataFrame([("I 90", [[(-121.5, 47.0), (-121.4, 47.1)]])], "name string, parts array<array<struct<x:double,y:double>>>")
     p = app_payload(df, line).first()
     assert [f["properties"]["cls"] for f in json.loads(p["peaks"])["features"]] == ["front", "behind"] and p["max_prom"] == 900 and json.loads(p["highway"])["features"][0]["properties"]["name"] == "I 90"
@@ -177,6 +183,34 @@ def test_exports(spark, tmp_path):
     assert [r[0] for r in df.select(peak_label(F.col("name"), F.col("elev_ft"), F.col("prom_ft"))).collect()] == ["A & <B>", "4000ft pk (P900)"]
 
 
+def test_chart(spark):
+    rows = [([0.0, 10.0], [4.0, 20.0], [5, 9, 1], 1), ([0.0, 0.0], [1.0, 1.0], [3], -1)]
+    got = chart(spark.createDataFrame(rows, "h array<double>, s array<double>, z array<int>, bar int")).collect()
+    assert [(r["z_low"], r["z_high"], r["share"], r["barrier_at"]) for r in got] == [(1, 9, 0.5, [2.0, 15.0]), (3, 3, None, None)]
+
+
+def test_rasters_as_tiles(spark, tmp_path):
+    z = np.where(np.random.default_rng(1).random((37, 21)) < 0.2, np.nan, np.arange(37 * 21).reshape(37, 21).astype(float))
+    cells, grid = cells_of_array(spark, z)
+    path = write_tiles(cells, "elev", str(tmp_path / "t"), 16)
+    back = read_tiles(spark, path, grid)
+    assert spark.read.parquet(path).count() == 6 and sorted(map(tuple, back.select("cell", "row", "col", "elev").collect())) == sorted(map(tuple, cells.filter("elev IS NOT NULL").select("cell", "row", "col", "elev").collect()))
+    mask = cells.select("row", "col", (F.col("col") > 5).alias("catch"))
+    assert read_tiles(spark, write_tiles(mask, "catch", str(tmp_path / "m"), 16), grid, "catch").filter("catch = 1").count() == mask.filter("catch").count()
+
+
+def test_numbered(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(k), ["a", "b", None][k % 3] if k % 7 else "a", float(rng.integers(0, 9)) if k % 11 else None) for k in range(500)]
+    df = spark.createDataFrame(rows, "id long, g string, v double").repartition(7)
+    order = lambda r: (-r[2] if r[2] is not None else np.inf, r[0])
+    want = {r[0]: k for k, r in enumerate(sorted(rows, key=order))}
+    assert {r["id"]: r["n"] for r in numbered(df, "n", F.desc_nulls_last("v"), F.col("id")).collect()} == want
+    within = {r[0]: k for g in ("a", "b", None) for k, r in enumerate(sorted((r for r in rows if r[1] == g), key=order))}
+    assert {r["id"]: r["n"] for r in numbered(df, "n", F.desc_nulls_last("v"), F.col("id"), by="g").collect()} == within
+    assert numbered(df.limit(0), "n", F.col("id")).count() == 0
+
+
 def test_peak_list(spark, tmp_path):
     lines = ["47.4,-121.4,6278,47.3,-121.3,1000", "1,2,3,4,5", "x,1,2,3,4,5", "47.0,-121,1,2,3,250,more", "47.0,-121,1,2,3,249.99", "47,-122.40,1,2,3,250", "1.5d,2,3,4,5,600", "1_000,2,3,4,5,600"]
     df = spark.createDataFrame([(t,) for t in lines], "value string")

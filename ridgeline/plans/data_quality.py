@@ -113,12 +113,14 @@ LINK_RADIUS, PLACE = 1000.0, 5000.0
 LINK_LEVELS = {"name": 4, "distance": 6, "elevation": 5, "prominence": 4}
 LINK_AGREE = {"name": 2, "distance": 2, "elevation": 3, "prominence": 2}
 #: Units that a height may be in, by side; a named unit rules the others out.
-_LEFT_UNITS, _RIGHT_UNITS = (0.3048, 1.0, 0.1, 1000.0), (1.0, 0.3048)
+_LEFT_UNITS, _RIGHT_UNITS = (0.3048, 1.0, 0.1, 1000.0, 0.01), (1.0, 0.3048)
+#: No summit is higher. Fixed value.
+HIGHEST = 9000
 
 
 def _readings(value: Column, units: tuple[float, ...], unit: Column | None = None) -> Column:
     """The heights in metres that a number may mean."""
-    open_ = F.filter(F.array(*(value * k for k in units)), lambda h: h.between(50, 9000))
+    open_ = F.filter(F.array(*(value * k for k in units)), lambda h: (h > 0) & (h <= HIGHEST))
     return open_ if unit is None else F.when(unit.isNotNull(), F.array(to_metres(value, unit))).otherwise(open_)
 
 

@@ -32,8 +32,10 @@ def test_prominence_worked_case(spark, size):
     assert four == {8: (80.0, None), 31: (45.0, 10), 36: (35.0, 37), 19: (30.0, 32), 39: (5.0, 38), 11: (5.0, 18), 48: (0.0, 46)}
 
 
-@pytest.mark.parametrize("neighbours", [4, 8])
-def test_prominence_equals_sweep(spark, neighbours):
+@pytest.mark.parametrize("neighbours,last", [(4, 200_000), (8, 200_000), (4, 0), (8, 0), (8, 5)])
+def test_prominence_equals_sweep(spark, monkeypatch, neighbours, last):
+    """One task that merges all basins, rounds of joins until nothing is left, and rounds before the last task."""
+    monkeypatch.setattr("ridgeline.operators.graph.LAST_EDGES", last)
     rng = np.random.default_rng(neighbours)
     z = rng.integers(0, 12, (17, 14)).astype(float)
     z[rng.random(z.shape) < 0.15] = np.nan

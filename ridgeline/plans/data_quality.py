@@ -143,7 +143,7 @@ def linked_summits(spark: SparkSession, folder: str) -> DataFrame:
         "osm_id", "name", _readings(number_in(F.col("ele")), _RIGHT_UNITS, stated_unit(F.col("ele"))).alias("h2"), _readings_ft(F.col("prominence")).alias("p2"),
         mercator_x(F.col("geometry.x")).alias("x"), mercator_y(F.col("geometry.y")).alias("y"),
     )
-    left, right = left.withColumn("lkey", name_key("label")), right.withColumn("rkey", name_key("name"))
+    left, right = cut(left.withColumn("lkey", name_key("label"))), cut(right.withColumn("rkey", name_key("name")))  # read by every pass
     near = within_distance(left, "peak_id", right, "osm_id", LINK_RADIUS).select(F.col("left_id").alias("peak_id"), F.col("right_id").alias("osm_id"), F.col("distance").alias("apart"))
     bucket = lambda h, d: F.explode(F.array_distinct(F.transform(h, lambda v: F.floor(F.ln(v) * 50) + d)))
     place = lambda k: F.coalesce(F.concat(F.floor(F.col("x") / PLACE), F.lit("/"), F.floor(F.col("y") / PLACE)), F.col(k).cast("string"))

@@ -31,7 +31,7 @@ def test_run(spark, tmp_path, method):
     peaks = got["peaks"].collect()
     assert len(peaks) >= len(tiles) and all(r["frontrow"] in (True, False) for r in peaks) and max(r["elev_m"] for r in peaks) == 1500.0
     assert got["cross_check"].first()["reference_peaks"] == 1
-    assert open(got["paths"]["gpx_all"]).read().count("<wpt") == len(peaks) and "<svg" in open(got["paths"]["app"]).read()
+    assert open(got["paths"]["all_peaks.gpx"]).read().count("<wpt") == len(peaks) and "<svg" in open(got["paths"]["app"]).read()
 
 
 def test_materialize_by_parameters(spark, tmp_path):

@@ -28,7 +28,7 @@ from ridgeline.sources.peak_list import CORRIDOR, in_corridor, parse_peak_list
 from ridgeline.sources.tiles import grid_of, tile_cover
 
 #: Columns of the raster that stands in, the side of its blocks (so that paths cross borders in both directions), the tolerance.
-WIDTH, SIZE, ASCENT = 64, 32, 150.0
+WIDTH, SIZE, ASCENT = 64, 48, 150.0
 
 
 def _raster(spark: SparkSession, d: str) -> tuple[DataFrame, R.Grid]:

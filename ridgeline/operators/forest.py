@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 
 BINS = 64
@@ -14,8 +16,7 @@ class Forest:
 
     def __init__(self, classes: int, trees: int = 30, depth: int = 10, least: float = 3.0, seed: int = 11):
         self.classes, self.trees, self.depth, self.least = classes, trees, depth, least
-        self.rng = np.random.default_rng(seed)
-        self.heat = 1.0
+        self.seed, self.heat = seed, 1.0
 
     def _bin(self, x: np.ndarray) -> np.ndarray:
         out = np.empty(x.shape, np.uint8)
@@ -23,8 +24,17 @@ class Forest:
             out[:, k] = np.where(np.isnan(x[:, k]), 0, np.searchsorted(cuts, x[:, k], side="right") + 1)
         return out
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Forest:
-        """Train; y: class numbers."""
+    def _weights(self, n: int, k: int) -> tuple[np.ndarray, np.random.Generator]:
+        """How often tree k sees each row, and its random numbers."""
+        rng = np.random.default_rng([self.seed, k])
+        return np.bincount(rng.integers(0, n, n), minlength=n).astype(float), rng
+
+    def tree(self, b: np.ndarray, y: np.ndarray, k: int):
+        """Tree k over binned rows; depends on nothing else."""
+        return self._grow(b, y, *self._weights(len(y), k))
+
+    def fit(self, x: np.ndarray, y: np.ndarray, each=lambda grow, n: [grow(k) for k in range(n)]) -> Forest:
+        """Train; y: class numbers. each(grow, n) gives grow(0) to grow(n - 1) and may run them anywhere."""
         n, f = x.shape
         self.cuts = []
         for k in range(f):
@@ -34,12 +44,9 @@ class Forest:
             self.cuts.append((v[1:] + v[:-1]) / 2 if len(v) > 1 else np.zeros(0))
         b = self._bin(x)
         self.prior = (np.bincount(y, minlength=self.classes) + 0.1) / (n + 0.1 * self.classes)
-        self.model, votes, seen = [], np.zeros((n, self.classes)), np.zeros(n)
-        for _ in range(self.trees):
-            w = np.bincount(self.rng.integers(0, n, n), minlength=n).astype(float)
-            tree = self._grow(b, y, w)
-            self.model.append(tree)
-            out = w == 0
+        self.model, votes, seen = each(partial(self.tree, b, y), self.trees), np.zeros((n, self.classes)), np.zeros(n)
+        for k, tree in enumerate(self.model):
+            out = self._weights(n, k)[0] == 0
             votes[out] += self._leaf(tree, b[out])
             seen[out] += 1
         ok = seen > 0
@@ -57,7 +64,7 @@ class Forest:
         q = np.maximum(p, 1e-4) ** (1 / heat)
         return (1 - FLOOR) * q / q.sum(1, keepdims=True) + FLOOR / self.classes
 
-    def _grow(self, b: np.ndarray, y: np.ndarray, w: np.ndarray):
+    def _grow(self, b: np.ndarray, y: np.ndarray, w: np.ndarray, rng: np.random.Generator):
         f, c = b.shape[1], self.classes
         feature, cut, child, leaf = [], [], [], []
         stack = [(np.flatnonzero(w > 0), 0, -1, 0)]
@@ -73,7 +80,7 @@ class Forest:
                 continue
             best = (1e-9, -1, 0)
             gini = count.sum() - (count**2).sum() / count.sum()
-            for k in self.rng.choice(f, max(3, f // 2), replace=False):
+            for k in rng.choice(f, max(3, f // 2), replace=False):
                 h = np.bincount(b[rows, k].astype(np.int64) * c + y[rows], weights=w[rows], minlength=BINS * c).reshape(BINS, c).cumsum(0)
                 left, right = h[:-1], count - h[:-1]
                 nl, nr = left.sum(1), right.sum(1)

@@ -14,8 +14,10 @@ the field is meant for. An empty table gives an empty result. Repeated records a
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -241,6 +243,18 @@ class Guesser:
                 best, self.heat = loss, float(heat)
 
 
+def _in_tasks(spark, grow, n: int) -> list:
+    """grow(0) to grow(n - 1), each in a task of its own; what goes out and comes back is of bounded size."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for k in f["id"]:
+                yield pd.DataFrame({"id": [k], "tree": [pickle.dumps(grow(int(k)))]})
+
+    rows = spark.range(0, n, 1, n).mapInPandas(run, "id long, tree binary").collect()
+    return [pickle.loads(r["tree"]) for r in sorted(rows, key=lambda r: r["id"])]
+
+
 def learn(seen: DataFrame) -> Guesser:
     """Train on a bounded sample of the rows whose unit is known."""
     stated = F.array_position(F.array(*(F.lit(u) for u in UNITS)), F.col("stated")) - 1
@@ -252,7 +266,7 @@ def learn(seen: DataFrame) -> Guesser:
     if len(rows) >= 20:
         y = rows["y"].to_numpy(np.int64)
         g.shares, g.told = _shares(rows[rows["stated"].isna()] if rows["stated"].isna().any() else rows), _told(rows["words"], y)
-        g.forest = Forest(len(UNITS)).fit(_features(rows, g.shares, g.told), y)
+        g.forest = Forest(len(UNITS)).fit(_features(rows, g.shares, g.told), y, partial(_in_tasks, seen.sparkSession))
     if len(held) >= 20:
         g.calibrate(held, held["y"].to_numpy(np.int64))
     return g

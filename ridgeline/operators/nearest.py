@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ridgeline.operators.spatial_join import within_distance
-from ridgeline.session import cut, small
+from ridgeline.operators.kdtree import Leaves, NearestPoints, blocks, touching
+from ridgeline.operators.spatial_join import _finite, _mix, _sample, within_distance
+from ridgeline.session import cut, ship, small
 
-#: Candidates that every task may hold as arrays; beyond, the search goes by growing radii.
+#: Candidates that every task may hold as arrays; beyond, they are dealt into the leaves of a k-d tree.
 HELD = 200_000
+#: Candidates that a leaf is meant to hold, and points that are looked up together.
+CAPACITY, TOGETHER = 20_000, 20_000
 
 
 def nearest_within(left: DataFrame, left_id: str, right: DataFrame, right_id: str, radius: float) -> DataFrame:
@@ -25,53 +30,135 @@ def nearest_within(left: DataFrame, left_id: str, right: DataFrame, right_id: st
 def nearest_k(left: DataFrame, left_id: str, right: DataFrame, right_id: str, k: int) -> DataFrame:
     """The k closest right points of each left point, or all there are: left_id, right_id, distance, rank from 0; the smaller id among equals. Points without
     coordinates take no part."""
-    a = left.select(F.col(left_id).cast("long").alias("id"), F.col("x").cast("double"), F.col("y").cast("double")).filter("x IS NOT NULL AND y IS NOT NULL")
-    b = right.select(F.col(right_id).cast("long").alias("id"), F.col("x").cast("double"), F.col("y").cast("double")).filter("x IS NOT NULL AND y IS NOT NULL")
+    ship(left.sparkSession)
+    a, b = _located(left, left_id), _located(right, right_id)
     if small(b, HELD, 24):
-        points = b.toPandas().sort_values("id")  # at most HELD rows
-        ids, x, y = (points[c].to_numpy() for c in ("id", "x", "y"))
-        sent = left.sparkSession.sparkContext.broadcast((ids, x, y))
+        points = b.toPandas()  # at most HELD rows
+        sent = left.sparkSession.sparkContext.broadcast(tuple(points[c].to_numpy() for c in ("id", "x", "y")))
 
         def probe(batches):
-            ids, x, y = sent.value
-            n = min(k, len(ids))
-            for batch in batches:
-                left_ids, px, py = (batch.column(i).to_numpy() for i in range(3))
-                step = max(1, 4_000_000 // max(1, len(ids)))
-                for lo in range(0, len(left_ids) if n else 0, step):
-                    d = np.hypot(px[lo : lo + step, None] - x[None], py[lo : lo + step, None] - y[None])
-                    kth = np.partition(d, n - 1, axis=1)[:, n - 1]
-                    row, col = np.nonzero(d <= kth[:, None])
-                    dist = d[row, col]
-                    order = np.lexsort((ids[col], dist, row))
-                    row, col, dist = row[order], col[order], dist[order]
-                    start = np.searchsorted(row, row)
-                    rank = np.arange(len(row)) - start
-                    ok = rank < n
-                    yield pa.RecordBatch.from_arrays([pa.array(left_ids[lo : lo + step][row[ok]]), pa.array(ids[col[ok]]), pa.array(dist[ok]), pa.array(rank[ok].astype(np.int32))], ["left_id", "right_id", "distance", "rank"])
-
-        found = a.mapInArrow(probe, "left_id long, right_id long, distance double, rank int")
+            index = NearestPoints(*sent.value, k)
+
+            def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
+                ids, px, py = (t.column(i).to_numpy() for i in range(3))
+                for found in _gathered(index.find(px, py)):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[found[0]]), *map(pa.array, found[1:])], ["left_id", "right_id", "distance", "rank"])
+
+            return blocks(batches, TOGETHER, run)
+
+        found = a.mapInArrow(probe, _FOUND)
     else:
         found = _by_radius(a, b, k)
     return found.select(F.col("left_id").alias(left_id), F.col("right_id").alias(right_id), "distance", "rank")
 
 
+_FOUND = "left_id long, right_id long, distance double, rank int"
+
+
+def _located(df: DataFrame, key: str) -> DataFrame:
+    """id, x, y of rows that have a place."""
+    return df.select(F.col(key).cast("long").alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).filter(_finite(F.col("x"), F.col("y")))
+
+
+def _gathered(parts: Iterator[tuple[np.ndarray, ...]], rows: int = 200_000) -> Iterator[tuple[np.ndarray, ...]]:
+    """Small blocks put together to at least so many rows."""
+    held, n = [], 0
+    for p in parts:
+        held.append(p)
+        n += len(p[0])
+        if n >= rows:
+            yield tuple(map(np.concatenate, zip(*held, strict=True)))
+            held, n = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
+def _leaves(df: DataFrame, x: str, y: str) -> Leaves:
+    n = df.count()
+    rows, scale = _sample(df, n, (x, y))
+    return Leaves.plan(rows, CAPACITY / scale)
+
+
+def _extent(held: DataFrame, tree: Leaves, box: tuple[str, str, str, str]) -> tuple[np.ndarray, np.ndarray]:
+    """The box around what each leaf really holds, and how much that is; a row a leaf reaches the driver."""
+    boxes, n = np.tile([np.inf, np.inf, -np.inf, -np.inf], (tree.n, 1)), np.zeros(tree.n, np.int64)
+    for r in held.groupBy("leaf").agg(*(f(c) for f, c in zip((F.min, F.min, F.max, F.max), box, strict=True)), F.count(F.lit(1))).collect():
+        boxes[r[0]], n[r[0]] = r[1:5], r[5]
+    return boxes, n
+
+
+def _meet(left: DataFrame, right: DataFrame, leaves: int, found, schema: str) -> DataFrame:
+    """found(left table, right table) for each leaf; both have the columns leaf and id. The left rows of a leaf are dealt into chunks by id, each with a copy of its right rows."""
+    parts = np.zeros(leaves, np.int64)
+    for r in left.groupBy("leaf").count().collect():
+        parts[r[0]] = -(-r[1] // TOGETHER)
+
+    def deal(batches):
+        for b in batches:
+            leaf, ids = b.column("leaf").to_numpy(), b.column("id").to_numpy()
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array((_mix(ids) % parts[leaf].astype(np.uint64)).astype(np.int32))], [*b.schema.names, "part"])
+
+    def copies(batches):
+        for b in batches:
+            n = parts[b.column("leaf").to_numpy()]
+            t = b.take(pa.array(np.repeat(np.arange(b.num_rows), n)))
+            yield pa.RecordBatch.from_arrays([*t.columns, pa.array((np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32))], [*b.schema.names, "part"])
+
+    kinds = [", ".join(f"{c} {t}" for c, t in df.dtypes) + ", part int" for df in (left, right)]
+    return left.mapInArrow(deal, kinds[0]).groupBy("leaf", "part").cogroup(right.mapInArrow(copies, kinds[1]).groupBy("leaf", "part")).applyInArrow(found, schema)
+
+
+def _at_home(df: DataFrame, tree: Leaves, x: str = "x", y: str = "y") -> DataFrame:
+    def run(batches):
+        for b in batches:
+            leaf = tree.of(b.column(x).to_numpy(), b.column(y).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int32)), *b.columns], ["leaf", *b.schema.names])
+
+    return df.mapInArrow(run, "leaf int, " + ", ".join(f"{c} {t}" for c, t in df.dtypes))
+
+
+def _within_bounds(df: DataFrame, boxes: np.ndarray, enough: np.ndarray, other: bool) -> DataFrame:
+    """leaf, id, x, y, alone for every leaf that a point of df (leaf, id, x, y, bound) must see, without its own if `other`. alone: it is the only one."""
+
+    def run(batches):
+        for b in batches:
+            own, ids, x, y, bound = (b.column(c).to_numpy() for c in ("leaf", "id", "x", "y", "bound"))
+            for row, leaf in touching(x, y, bound, boxes, enough):
+                alone = np.bincount(row, minlength=len(x))[row] == 1
+                if other:
+                    row, leaf, alone = (v[leaf != own[row]] for v in (row, leaf, alone))
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (leaf.astype(np.int32), ids[row], x[row], y[row], alone)], ["leaf", "id", "x", "y", "alone"])
+
+    return df.select("leaf", "id", "x", "y", "bound").mapInArrow(run, "leaf int, id long, x double, y double, alone boolean")
+
+
 def _by_radius(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
-    """Exact k nearest by doubling a radius for those points that have not yet k within it."""
-    e = b.agg(F.count(F.lit(1)).alias("n"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")).first()
-    far = max(e["w"] or 0.0, e["h"] or 0.0, 1.0)
-    need, radius, out, rest = min(k, e["n"]), max(far * (k / max(e["n"], 1)) ** 0.5, 1e-6), None, cut(a)
+    """Exact k nearest (a, b: id, x, y): candidates in the leaves of a k-d tree; a point's home leaf bounds how far it must look, and it is met with every leaf within that. Points with one such
+    leaf, nearly all, are finished there; of the others each leaf gives its best k."""
+    place = W.partitionBy("x", "y").orderBy("id")
+    b = cut(b.withColumn("_n", F.row_number().over(place)).filter(F.col("_n") <= k).drop("_n"))  # no more of one place can be among the nearest
+    tree = _leaves(b, "x", "y")
+    held, a = _at_home(b, tree), _at_home(a, tree)
+    boxes, n = _extent(held, tree, ("x", "y", "x", "y"))
+    need = min(k, int(n.sum()))
+
+    def index(rt: pa.Table) -> NearestPoints:
+        return NearestPoints(*(rt[c].to_numpy() for c in ("id", "x", "y")), k)
+
+    def bound(lt: pa.Table, rt: pa.Table) -> pa.Table:
+        return lt.drop_columns(["part"]).append_column("bound", pa.array(index(rt).bounds(lt["x"].to_numpy(), lt["y"].to_numpy(), need)))
+
+    def found(lt: pa.Table, rt: pa.Table) -> pa.Table:
+        ids = lt["id"].to_numpy()
+        parts = [pa.table([pa.array(ids[f[0]]), *map(pa.array, f[1:])], names=["left_id", "right_id", "distance", "rank"]) for f in _gathered(index(rt).find(lt["x"].to_numpy(), lt["y"].to_numpy()))]
+        return pa.concat_tables(parts) if parts else pa.table({"left_id": pa.array([], "int64"), "right_id": pa.array([], "int64"), "distance": pa.array([], "float64"), "rank": pa.array([], "int32")})
+
+    bounded = cut(_meet(cut(a), held, tree.n, bound, "leaf int, id long, x double, y double, bound double"))
+    seen = _within_bounds(bounded, boxes, n >= need, other=False)
+    once, more = (_meet(seen.filter(c), held, tree.n, found, _FOUND) for c in (F.col("alone"), ~F.col("alone")))
     w = W.partitionBy("left_id").orderBy("distance", "right_id")
-    while True:
-        pairs = within_distance(rest, "id", b, "id", radius)
-        got = cut(pairs.withColumn("rank", (F.row_number().over(w) - 1).cast("int")).filter(F.col("rank") < need))
-        full = got.groupBy("left_id").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= need).select("left_id")
-        part = got.join(full, "left_id", "left_semi")
-        out = part if out is None else out.unionByName(part)
-        rest = cut(rest.join(full.withColumnRenamed("left_id", "id"), "id", "left_anti"))
-        if rest.limit(1).isEmpty():
-            return out
-        radius *= 2
+    more = more.withColumn("rank", (F.row_number().over(w) - 1).cast("int")).filter(F.col("rank") < need)
+    return once.unionByName(more)
 
 
 def distance_to_segments(points: DataFrame, point_id: str, segments: DataFrame) -> DataFrame:

@@ -77,3 +77,24 @@ def test_point_to_line(spark):
     from ridgeline.operators.nearest import _far_segments
 
     assert [round(r["distance"], 6) for r in _far_segments(pts, "p", segs).orderBy("p").collect()] == got
+
+
+def test_nearest_over_many_leaves(spark, monkeypatch):
+    from ridgeline.operators import nearest as N
+
+    def crowd_pairs(*a, **k):
+        raise AssertionError("all pairs within one radius")
+
+    monkeypatch.setattr(N, "within_distance", crowd_pairs)
+    monkeypatch.setattr(N, "CAPACITY", 40)
+    monkeypatch.setattr(N, "TOGETHER", 50)
+    rng = np.random.default_rng(5)
+    spot = np.round(rng.normal(0, 9, (120, 2)))  # a crowd, many in one place, and a few far off
+    b = np.vstack([spot, spot, np.tile([[3.0, 3.0]], (90, 1)), rng.uniform(-9e4, 9e4, (150, 2)), [[5e6, 5e6]]])
+    a = np.vstack([spot[:60], rng.uniform(-1e5, 1e5, (80, 2)), [[-4e6, 1e6]]])
+    d = np.sqrt((a[:, None, 0] - b[None, :, 0]) ** 2 + (a[:, None, 1] - b[None, :, 1]) ** 2)
+    left, right = _points(spark, a).select("id", "x", "y"), _points(spark, b).select("id", "x", "y")
+    for k in (1, 7, 600):
+        want = {(i, int(j), r) for i in range(len(a)) for r, j in enumerate(np.lexsort((np.arange(len(b)), d[i]))[:k])}
+        got = [(r["left_id"], r["right_id"], r["rank"]) for r in _by_radius(left, right, k).collect()]
+        assert len(got) == len(want) and set(got) == want

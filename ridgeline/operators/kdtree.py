@@ -168,6 +168,53 @@ class NearestPoints:
                 yield part[row[ok]], ids[ok], dist[ok], rank[ok].astype(np.int32)
 
 
+class NearestSegment:
+    """The least distance of points to segments (x0, y0, x1, y1). Each may be given more than once, with the boxes of pieces of it."""
+
+    def __init__(self, segments: np.ndarray, boxes: np.ndarray):
+        self.n = len(segments)
+        if self.n:
+            self.b = Buckets(boxes, 16)
+            s = segments[self.b.order]
+            self.ax, self.ay, self.vx, self.vy = s[:, 0], s[:, 1], s[:, 2] - s[:, 0], s[:, 3] - s[:, 1]
+            self.nn = np.maximum(self.vx * self.vx + self.vy * self.vy, 1e-300)
+
+    def _distances(self, px: np.ndarray, py: np.ndarray, at: np.ndarray) -> np.ndarray:
+        qx, qy, vx, vy = px - self.ax[at], py - self.ay[at], self.vx[at], self.vy[at]
+        t = np.clip((qx * vx + qy * vy) / self.nn[at], 0, 1)
+        dx, dy = qx - t * vx, qy - t * vy
+        return np.sqrt(dx * dx + dy * dy)
+
+    def _better(self, best: np.ndarray, px: np.ndarray, py: np.ndarray, row: np.ndarray, bucket: np.ndarray) -> None:
+        """Meets points (row, ascending) with the items of buckets."""
+        work, lo = np.cumsum(self.b.n[bucket]), 0
+        while lo < len(row):
+            hi = max(lo + 1, int(np.searchsorted(work, (work[lo - 1] if lo else 0) + HOLD, "right")))
+            k = bucket[lo:hi]
+            n = self.b.n[k]
+            who = np.repeat(row[lo:hi], n)
+            d = self._distances(px[who], py[who], self.b.items(k))
+            first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
+            best[who[first]] = np.minimum(best[who[first]], np.minimum.reduceat(d, first))
+            lo = hi
+
+    def find(self, px: np.ndarray, py: np.ndarray) -> np.ndarray:
+        """The distance of each point; infinity without segments."""
+        out = np.full(len(px), np.inf)
+        for rows, box in together(px, py) if self.n else ():
+            x, y = px[rows], py[rows]
+            points, best, k = np.column_stack([x, y, x, y])[:, None], np.full(len(rows), np.inf), np.arange(len(rows))
+            self._better(best, x, y, k, np.full(len(rows), most(box, self.b.boxes).argmin()))
+            near = np.flatnonzero(least(box, self.b.boxes) <= beyond(best.max()))
+            for part in np.array_split(k, min(len(k), 1 + len(k) * len(near) // HOLD)) if len(near) else ():  # none where another piece of the segment found lies nearest
+                gap = least(points[part], self.b.boxes[near])
+                self._better(best, x, y, part, near[gap.argmin(1)])
+                row, col = np.nonzero(gap <= beyond(best[part])[:, None])
+                self._better(best, x, y, part[row], near[col])
+            out[rows] = best
+        return out
+
+
 def touching(px: np.ndarray, py: np.ndarray, bound: np.ndarray, boxes: np.ndarray, enough: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Blocks of (number of the point, leaf), all of a point in one: leaves whose boxes lie within each point's bound. A point without one takes that of the leaf which has `enough`
     and ends nearest. Leaves that hold nothing have no box."""

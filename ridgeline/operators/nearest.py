@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ridgeline.operators.kdtree import Leaves, NearestPoints, blocks, touching
+from ridgeline.operators.kdtree import Leaves, NearestPoints, NearestSegment, blocks, touching
 from ridgeline.operators.spatial_join import _finite, _mix, _sample, within_distance
 from ridgeline.session import cut, ship, small
 
@@ -164,46 +164,52 @@ def _by_radius(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
 def distance_to_segments(points: DataFrame, point_id: str, segments: DataFrame) -> DataFrame:
     """The least distance of each point (x, y) to any of the segments (x0, y0, x1, y1): point_id, distance. Segments travel as arrays when they are few enough,
     else they are joined."""
+    ship(points.sparkSession)
+    pts = _located(points, point_id)
     if small(segments, HELD, 32):
         s = segments.select("x0", "y0", "x1", "y1").toPandas().to_numpy(float)  # at most HELD rows
+        if not len(s):
+            return pts.select(F.col("id").alias(point_id), F.lit(None).cast("double").alias("distance"))
         sent = points.sparkSession.sparkContext.broadcast(s)
 
         def probe(batches):
             s = sent.value
-            ax, ay, vx, vy = s[:, 0], s[:, 1], s[:, 2] - s[:, 0], s[:, 3] - s[:, 1]
-            n = np.maximum(vx * vx + vy * vy, 1e-300)
-            for batch in batches:
-                ids, px, py = (batch.column(i).to_numpy() for i in range(3))
-                out, step = np.empty(len(ids)), max(1, 2_000_000 // max(1, len(s)))
-                for lo in range(0, len(ids), step):
-                    qx, qy = px[lo : lo + step, None] - ax, py[lo : lo + step, None] - ay
-                    t = np.clip((qx * vx + qy * vy) / n, 0, 1)
-                    out[lo : lo + step] = np.hypot(qx - t * vx, qy - t * vy).min(1)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(out)], ["id", "distance"])
-
-        pts = points.select(F.col(point_id).cast("long").alias("id"), F.col("x").cast("double"), F.col("y").cast("double")).filter("x IS NOT NULL AND y IS NOT NULL")
-        if not len(s):
-            return pts.select(F.col("id").alias(point_id), F.lit(None).cast("double").alias("distance"))
+            index = NearestSegment(s, np.column_stack([np.minimum(s[:, :2], s[:, 2:]), np.maximum(s[:, :2], s[:, 2:])]))
+
+            def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
+                ids, px, py = (t.column(i).to_numpy() for i in range(3))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(index.find(px, py))], ["id", "distance"])
+
+            return blocks(batches, TOGETHER, run)
+
         return pts.mapInArrow(probe, "id long, distance double").withColumnRenamed("id", point_id)
     return _far_segments(points, point_id, segments)
 
 
 def _far_segments(points: DataFrame, point_id: str, segments: DataFrame) -> DataFrame:
-    """Many segments: those near a point are among the ones whose cut-up pieces lie closest, so pieces stand in as points and the nearest few are measured exactly."""
+    """Many segments lie in the leaves of a k-d tree, long ones once for every piece of about the mean length, with its box. A point's home leaf gives a distance; only leaves
+    with a box within that can give a lesser one, and each gives one row."""
     length = F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    segments = cut(segments.select(*(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1"))).filter(_finite(*(F.col(c) for c in ("x0", "y0", "x1", "y1")))))
     piece = segments.agg(F.avg(length)).first()[0] or 1.0
     n = F.greatest(F.lit(1), F.ceil(length / piece)).cast("int")
     s = segments.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    at = lambda a, b, k: F.col(a) + (F.col(b) - F.col(a)) * (F.col("i") + k) / F.col("n")
-    s = cut(s.select(F.monotonically_increasing_id().alias("sid"), at("x0", "x1", 0).alias("x0"), at("y0", "y1", 0).alias("y0"), at("x0", "x1", 1).alias("x1"), at("y0", "y1", 1).alias("y1")))
-    middle = s.select("sid", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
-    near = nearest_k(points, point_id, middle, "sid", 1)
-    reach = near.groupBy().agg(F.max("distance")).first()[0] or 0.0
-    pairs = within_distance(points, point_id, middle, "sid", reach + piece).select(F.col("left_id").alias(point_id), F.col("right_id").alias("sid"))
-    q = pairs.join(points.select(point_id, "x", "y"), point_id).join(s, "sid")
-    vx, vy, qx, qy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.col("x") - F.col("x0"), F.col("y") - F.col("y0")
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(qx * vx + qy * vy, vx * vx + vy * vy), F.lit(0.0))))
-    return q.withColumn("distance", F.hypot(qx - t * vx, qy - t * vy)).groupBy(point_id).agg(F.min("distance").alias("distance"))
+    at = lambda a, b, k: F.when(F.col("i") + k == F.col("n"), F.col(b)).otherwise(F.col(a) + (F.col(b) - F.col(a)) * (F.col("i") + k) / F.col("n"))
+    ends = [at(f"{c}0", f"{c}1", k) for c in "xy" for k in (0, 1)]
+    s = s.select("x0", "y0", "x1", "y1", F.least(*ends[:2]).alias("w"), F.least(*ends[2:]).alias("s"), F.greatest(*ends[:2]).alias("e"), F.greatest(*ends[2:]).alias("n"))
+    s = s.withColumns({"x": (F.col("w") + F.col("e")) / 2, "y": (F.col("s") + F.col("n")) / 2})
+    tree = _leaves(s, "x", "y")
+    held = _at_home(s, tree).drop("x", "y")
+    boxes, count = _extent(held, tree, ("w", "s", "e", "n"))
+
+    def found(lt: pa.Table, rt: pa.Table) -> pa.Table:
+        index = NearestSegment(*(np.column_stack([rt[c].to_numpy() for c in cs]) for cs in (("x0", "y0", "x1", "y1"), ("w", "s", "e", "n"))))
+        return lt.select(["leaf", "id", "x", "y"]).append_column("bound", pa.array(index.find(lt["x"].to_numpy(), lt["y"].to_numpy())))
+
+    schema = "leaf int, id long, x double, y double, bound double"
+    home = cut(_meet(cut(_at_home(_located(points, point_id), tree)), held, tree.n, found, schema))
+    more = _meet(_within_bounds(home, boxes, count > 0, other=True), held, tree.n, found, schema)
+    return home.unionByName(more).groupBy(F.col("id").alias(point_id)).agg(F.min("bound").alias("distance"))
 
 
 def nearest_to_point(df: DataFrame, lat: float, lon: float) -> DataFrame:

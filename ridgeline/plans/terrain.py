@@ -270,7 +270,7 @@ def rasterize_line(spark, d):
 
 
 def _route_segments(spark, d):
-    ways = road_lines(_ways(spark, d)).filter(is_route(F.col("ref"))).select("osm_id", "parts")
+    ways = one_delivery(road_lines(table(spark, d, "osm_ways")).filter(is_route(F.col("ref"))), "osm_id").select("osm_id", "parts")  # copies are alike, so those of other roads need not be told apart
     return projected(segments_of(ways, "parts", "osm_id"))
 
 

@@ -98,3 +98,26 @@ def test_nearest_over_many_leaves(spark, monkeypatch):
         want = {(i, int(j), r) for i in range(len(a)) for r, j in enumerate(np.lexsort((np.arange(len(b)), d[i]))[:k])}
         got = [(r["left_id"], r["right_id"], r["rank"]) for r in _by_radius(left, right, k).collect()]
         assert len(got) == len(want) and set(got) == want
+
+
+def test_point_to_many_segments(spark, monkeypatch):
+    from ridgeline.operators import nearest as N
+
+    def crowd_pairs(*a, **k):
+        raise AssertionError("all pairs within one radius")
+
+    monkeypatch.setattr(N, "within_distance", crowd_pairs)
+    monkeypatch.setattr(N, "CAPACITY", 30)
+    monkeypatch.setattr(N, "TOGETHER", 50)
+    rng = np.random.default_rng(6)
+    s = np.hstack([xy := rng.uniform(-5e4, 5e4, (200, 2)), xy + rng.normal(0, 300, (200, 2))])
+    s = np.vstack([s, s[:20, [0, 1, 0, 1]], [[-4e5, -4e5, 4e5, 3e5]]])  # some of no length, one very long
+    p = np.vstack([rng.uniform(-9e4, 9e4, (150, 2)), [[3e6, 0]]])
+    q, v = p[:, None] - s[None, :, :2], (s[:, 2:] - s[:, :2])[None]
+    t = np.clip((q * v).sum(2) / np.maximum((v * v).sum(2), 1e-300), 0, 1)[..., None]
+    want = np.sqrt(((q - t * v) ** 2).sum(2)).min(1)
+    segs = spark.createDataFrame([tuple(map(float, r)) for r in s], "x0 double, y0 double, x1 double, y1 double")
+    got = {r["p"]: r["distance"] for r in N._far_segments(_points(spark, p, "p"), "p", segs).collect()}
+    assert len(got) == len(p) and np.allclose([got[k] for k in range(len(p))], want, rtol=1e-12)
+    near = {r["p"]: r["distance"] for r in N.distance_to_segments(_points(spark, p, "p"), "p", segs).collect()}
+    assert np.allclose([near[k] for k in range(len(p))], want, rtol=1e-12)

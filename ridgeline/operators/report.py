@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.operators.nearest import nearest_within
+from ridgeline.session import cut, numbered
 
 #: Prominence bands in feet: from, to. Fixed values.
 BANDS = ((250, 500), (500, 1000), (1000, 2000), (2000, 1_000_000_000))
@@ -36,8 +39,15 @@ def prominence_bands(df: DataFrame, bands=BANDS) -> DataFrame:
 
 
 def distance_quantiles(df: DataFrame, column: str) -> DataFrame:
-    """Median, 90th percentile (interpolated) and maximum."""
-    return df.agg(F.percentile(column, F.array(F.lit(0.5), F.lit(0.9))).alias("q"), F.max(column).alias("largest")).select(F.col("q")[0].alias("median"), F.col("q")[1].alias("p90"), "largest")
+    """Median, 90th percentile (interpolated) and maximum; NULL where there are no values. Values are sorted by range and numbered, so no task holds them all; those at the places
+    sought reach the driver."""
+    v = cut(numbered(df.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL"), "place", F.col("v")))
+    n = v.count()
+    at = [(n - 1) * q for q in (0.5, 0.9, 1.0)]
+    ends = [(math.floor(x), math.ceil(x)) for x in at]
+    held = {r["place"]: r["v"] for r in v.filter(F.col("place").isin(*{k for e in ends for k in e})).collect()} if n else {}
+    row = tuple(held[lo] if held[lo] == held[hi] else (hi - x) * held[lo] + (x - lo) * held[hi] for x, (lo, hi) in zip(at, ends, strict=True)) if n else (None,) * 3
+    return df.sparkSession.createDataFrame([row], "median double, p90 double, largest double")
 
 
 def class_counts(df: DataFrame) -> DataFrame:

@@ -166,6 +166,21 @@ def test_reports(spark):
     assert tuple(class_counts(spark.createDataFrame([(True,), (False,), (True,)], "frontrow boolean")).first()) == (3, 2, 1)
 
 
+def test_quantiles_without_all_values_in_one_task(spark, monkeypatch):
+    from ridgeline.operators import report
+
+    def one_map(*a, **k):
+        raise AssertionError("every distinct value in one task")
+
+    monkeypatch.setattr(report.F, "percentile", one_map)
+    v = np.random.default_rng(2).gamma(2, 900, 997)
+    for part in (v, v[:10], v[:1], np.repeat(v[:3], 5)):
+        rows = spark.createDataFrame([(float(x),) for x in part] + [(None,)], "d double").repartition(5)
+        got = report.distance_quantiles(rows, "d").first()
+        assert np.allclose(got, [np.quantile(part, 0.5), np.quantile(part, 0.9), part.max()], rtol=1e-12)
+    assert tuple(report.distance_quantiles(rows.limit(0), "d").first()) == (None, None, None)
+
+
 def test_exports(spark, tmp_path):
     df = spark.createDataFrame([(0, 47.1, -121.5, 5000.5, 2.5, True, "A & <B>"), (1, 47.2, -121.4, 4000.0, 900.0, False, "")], "peak_id long, lat double, lon double, elev_ft double, prom_ft double, frontrow boolean, name string")
     paths = export_files(df, str(tmp_path))

@@ -155,6 +155,21 @@ def test_profile_query_tries_all_candidates(spark, tmp_path):
     assert CANDIDATES == 30 <= len(at) and want[8] != want[30] and got == want[30]
 
 
+def test_peaks_of_one_place_share_their_profiles(spark, tmp_path, monkeypatch):
+    """Lines that differ are cut at block borders once, however many peaks they belong to, and every peak has its row."""
+    from ridgeline.operators import profile as P
+
+    cut_lines, pieces = [], P._pieces
+    monkeypatch.setattr(P, "_pieces", lambda pairs, *a: (cut_lines.append(pairs.count()), pieces(pairs, *a))[1])
+    v = np.random.default_rng(4).uniform(-0.3, 0.3, (40, 64)).round(4)
+    spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(k,) for k in range(3)], "n_nationkey long").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(k,) for j in range(5) for k in range(320 * j, 320 * j + 8)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")  # 320 keys on, the same cell
+    got = {r["peak_id"]: tuple(r)[1:] for r in terrain.profile_choice(spark, str(tmp_path)).collect()}
+    assert len(got) == 40 and all(got[320 * j + k] == got[k] for j in range(5) for k in range(8))
+    assert cut_lines and max(cut_lines) <= 8 * CANDIDATES
+
+
 def test_reports(spark):
     ours = spark.createDataFrame([(1, 0.0, 0.0, 300.0), (2, 5000.0, 0.0, 2500.0)], "peak_id long, x double, y double, prom_ft double")
     ref = spark.createDataFrame([(1, 100.0, 0.0, 290.0), (2, 0.0, 300.0, 310.0), (3, 9e5, 0.0, 1.0)], "peak_id long, x double, y double, prom_ft double")

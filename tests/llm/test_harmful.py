@@ -115,3 +115,20 @@ def test_tables(spark):
     none = score_documents(docs, reviews.limit(0))
     assert none.filter("score IS NULL AND harmful IS NULL").count() == len(rows)
     assert score_documents(docs.limit(0), reviews.limit(0)).count() == 0 and fit(known.limit(1)) is None
+
+
+def test_a_lookalike_reviewed_once_is_known(spark):
+    """One verdict of `clean` on a wording that looks like harm holds for the documents with that wording, whatever their fold."""
+    r = np.random.default_rng(8)
+    town = lambda: "".join(r.choice(list("bdgklmnprst")) + r.choice(list("aeiou")) for _ in range(3))
+    harm = [f"You filthy zorg of {town()}, go and rot in a ditch." for _ in range(60)]
+    clean = [f"The bridge of {town()} was {w} after the storm." for w in ("new", "old", "wet", "closed") for _ in range(20)]
+    alike = [f"Report your filthy zorg in {town()} to the office, or it will rot in a ditch." for _ in range(20)]
+    texts = harm + clean + alike
+    docs = spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    reviewed = [*range(45), *range(60, 125), len(harm) + len(clean)]
+    reviews = spark.createDataFrame([(i, "abusive" if i < 60 else "clean") for i in reviewed], "doc_id long, verdict string")
+    got = {r["doc_id"]: r["harmful"] for r in score_documents(docs, reviews).collect()}
+    first = len(harm) + len(clean)
+    assert all(got[i] for i in range(60)) and not any(got[i] for i in range(60, first))
+    assert not any(got[i] for i in range(first + 1, len(texts)))
